@@ -60,19 +60,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``buf[start:end]``; starts ascend. Equal bytes give equal hashes wherever they stand."""
-    out = np.empty(len(start), U64)
+    """A 64-bit hash of each ``buf[start:end]``; starts ascend. Equal bytes give equal hashes wherever they stand.
+
+    ``end`` may have more rows, each with other ends for the same starts; so has the result.
+    """
+    out = np.empty(end.shape, U64)
     i = 0
     while i < len(start):
         lo = int(start[i])
         j = max(i + 1, int(np.searchsorted(start, lo + _SPAN)))
-        hi = int(end[i:j].max())
+        hi = int(end[..., i:j].max())
         up, down = _power_tables(hi - lo + 1)
         total = np.empty(hi - lo + 1, U64)
         total[0] = 0
         np.cumsum((buf[lo:hi].astype(U64) + U64(1)) * up[: hi - lo], out=total[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+        s, e = start[i:j] - lo, end[..., i:j] - lo
+        out[..., i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
         i = j
     return out
 

@@ -1,8 +1,10 @@
 """Registered queries of the text operators: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from tessera.llm import simhash
+from tessera.llm import decontaminate, simhash, toxicity
 
 QUERIES = {
+    "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
+    "op9_decontaminate": decontaminate.query,
 }
 ORACLES: dict[str, str] = {}
