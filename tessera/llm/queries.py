@@ -1,10 +1,14 @@
 """Registered queries of the text operators: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from tessera.llm import decontaminate, simhash, toxicity
+from tessera.llm import decontaminate, mixture, shard, simhash, toxicity
 
 QUERIES = {
+    "op2_mixture": mixture.query,
+    "op5_shard": shard.query,
     "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
     "op9_decontaminate": decontaminate.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_shard": shard.ORACLE,
+}
