@@ -1,8 +1,9 @@
 """Registered queries of the text operators: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from tessera.llm import decontaminate, mixture, shard, simhash, toxicity
+from tessera.llm import decontaminate, langid, mixture, shard, simhash, toxicity
 
 QUERIES = {
+    "op1_langid": langid.query,
     "op2_mixture": mixture.query,
     "op5_shard": shard.query,
     "op7_toxicity": toxicity.query,
