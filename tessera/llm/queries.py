@@ -1,15 +1,18 @@
 """Registered queries of the text operators: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from tessera.llm import decontaminate, langid, mixture, shard, simhash, toxicity
+from tessera.llm import decontaminate, html, langid, mixture, quality, shard, simhash, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_mixture": mixture.query,
+    "op3_quality": quality.query,
     "op5_shard": shard.query,
     "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_html": html.query,
 }
 ORACLES: dict[str, str] = {
+    "op3_quality": quality.query,
     "op5_shard": shard.ORACLE,
 }
