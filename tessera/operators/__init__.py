@@ -1 +1 @@
-
+"""Relational building blocks as functions from DataFrames to DataFrames."""
