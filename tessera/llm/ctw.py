@@ -29,7 +29,7 @@ from tessera.llm.split import held_out
 from tessera.plans.lineage import cut
 
 DEPTH = 5
-RARE = 2.0**-22
+RARE = 2.0**-18
 HEAD = 1 << 19
 FOLDS = 7
 #: The key that counts ends of texts among the words.
@@ -189,11 +189,13 @@ def tree(seen: DataFrame, depth: int = DEPTH, rare: float = RARE) -> Tree:
     decisions = F.array(*[F.struct((context + (1 << k) + F.shiftright(byte, 8 - k)).alias("k"), F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("b")) for k in range(8)])
     node = level.select("_d", F.explode(decisions).alias("_s"), "_n").groupBy("_d", F.col("_s.k").alias("_k"))
     node = node.agg(F.sum(F.col("_n") * (1 - F.col("_s.b"))).alias("_zero"), F.sum(F.col("_n") * F.col("_s.b")).alias("_one"))
-    kept = node.filter(F.col("_zero") + F.col("_one") >= F.lit(rare * total)).toPandas()
+    kept = node.filter(F.col("_zero") + F.col("_one") >= F.lit(rare * total)).toArrow()
+    of, key, zero, one = (kept[c].to_numpy() for c in ("_d", "_k", "_zero", "_one"))
     levels = []
     for d in range(depth + 1):
-        own = kept[kept["_d"] == d].sort_values("_k")
-        levels.append((own["_k"].to_numpy().astype(np.uint64), own["_zero"].to_numpy().astype(float), own["_one"].to_numpy().astype(float)))
+        own = np.flatnonzero(of == d)
+        own = own[np.argsort(key[own])]
+        levels.append((key[own].astype(np.uint64), zero[own].astype(float), one[own].astype(float)))
     return Tree(levels)
 
 
