@@ -8,10 +8,10 @@ from tessera.queries.registry import query
 from tessera.queries.tables import Tables, sql
 
 
-@query("agg_sum_filtered", "SELECT count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+@query("agg_sum_filtered", "SELECT count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(avg(l_quantity), 6) AS avg_qty, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 def agg_sum_filtered(spark, d):
     l = Tables(spark, d).lineitem.filter("l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")  # noqa: E741
-    return l.agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    return l.agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
 
 
 @query("agg_count", "SELECT count(*) AS n, count(CASE WHEN value > 50 THEN 1 END) AS big FROM events")

@@ -78,10 +78,10 @@ def anti_changed_rows(spark, d):
 _RATES = "(VALUES ('F', 'EUR', 0.9::DOUBLE), ('O', 'EUR', 1.1::DOUBLE), ('O', 'USD', 1.0::DOUBLE)) r(unit, to_unit, factor)"
 
 
-@query("join_rates", f"SELECT o_custkey, round(sum(o_totalprice * factor), 2) AS total FROM orders JOIN {_RATES} ON o_orderstatus = unit AND to_unit = 'EUR' GROUP BY o_custkey")
+@query("join_rates", f"SELECT o_custkey, round(sum(o_totalprice * factor), 4) AS total FROM orders JOIN {_RATES} ON o_orderstatus = unit AND to_unit = 'EUR' GROUP BY o_custkey")
 def join_rates(spark, d):
     rates = spark.createDataFrame([("F", "EUR", 0.9), ("O", "EUR", 1.1), ("O", "USD", 1.0)], "unit string, to_unit string, factor double")
-    return J.converted(Tables(spark, d).orders, rates, "o_orderstatus", "EUR", "o_totalprice").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return J.converted(Tables(spark, d).orders, rates, "o_orderstatus", "EUR", "o_totalprice").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
 
 
 @query("aggregate_then_join", "SELECT p_brand, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")

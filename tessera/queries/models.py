@@ -49,10 +49,10 @@ def measure_pivot(spark, d):
     return _rounded(_filled(spark, d).query().rows("flag").columns("status").where("unit", "EUR").df(), "F", "O")
 
 
-@query("measure_convert", f"SELECT year, round(sum(CASE unit WHEN 'EUR' THEN value * 1.25 ELSE value END), 2) AS value FROM {_VALUES} GROUP BY year")
+@query("measure_convert", f"SELECT year, round(sum(CASE unit WHEN 'EUR' THEN value * 1.25 ELSE value END), 4) AS value FROM {_VALUES} GROUP BY year")
 def measure_convert(spark, d):
     rates = spark.createDataFrame([("EUR", "USD", 1.25), ("USD", "USD", 1.0)], "unit string, to_unit string, factor double")
-    return _rounded(_filled(spark, d).query().rows("year").convert_to("USD", rates).df(), "value")
+    return _filled(spark, d).query().rows("year").convert_to("USD", rates).df().withColumn("value", F.round("value", 4))
 
 
 @query("measure_declared_order", f"SELECT flag, unit, round(sum(value), 2) AS value FROM {_VALUES} WHERE year IN ('1996', '1997') GROUP BY flag, unit")

@@ -10,7 +10,7 @@ from tessera.operators.vector import Metric, VectorSearch
 from tessera.queries.registry import query
 from tessera.queries.tables import Tables, sql
 
-_REVENUE = "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"
+_REVENUE = "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"
 
 
 def _revenue(spark, d):
@@ -19,7 +19,7 @@ def _revenue(spark, d):
     per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
     people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     met = t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey"))
-    return met.groupBy("n_name", F.year("o_orderdate").cast("long").alias("y")).agg(F.round(F.sum("r"), 2).alias("revenue"))
+    return met.groupBy("n_name", F.year("o_orderdate").cast("long").alias("y")).agg(F.round(F.sum("r"), 4).alias("revenue"))
 
 
 @query("topn_per_group", f"SELECT * FROM (SELECT n_name, y, revenue, rank() OVER (PARTITION BY y ORDER BY revenue DESC) AS place FROM ({_REVENUE})) WHERE place <= 5")

@@ -10,10 +10,10 @@ from tessera.queries.registry import query
 from tessera.queries.tables import Tables, sql
 
 
-@query("project_expressions", "SELECT c_custkey, c_name || ' (' || c_mktsegment || ')' AS label, round(c_acctbal * 1.1, 2) AS raised, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal BETWEEN 0 AND 1000 THEN 'low' ELSE 'high' END AS band FROM customer")
+@query("project_expressions", "SELECT c_custkey, c_name || ' (' || c_mktsegment || ')' AS label, round(c_acctbal * 1.1, 4) AS raised, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal BETWEEN 0 AND 1000 THEN 'low' ELSE 'high' END AS band FROM customer")
 def project_expressions(spark, d):
     band = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal").between(0, 1000), "low").otherwise("high")
-    return Tables(spark, d).customer.select("c_custkey", F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("label"), F.round(F.col("c_acctbal") * 1.1, 2).alias("raised"), band.alias("band"))
+    return Tables(spark, d).customer.select("c_custkey", F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("label"), F.round(F.col("c_acctbal") * 1.1, 4).alias("raised"), band.alias("band"))
 
 
 @query("sql_parameters", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
@@ -201,14 +201,14 @@ def fn_strings(spark, d):
     return Tables(spark, d).part.select("p_partkey", F.upper("p_name").alias("up"), F.lower("p_brand").alias("low"), F.length("p_name").cast("long").alias("len"), F.substring("p_name", 2, 5).alias("part"), F.replace("p_brand", F.lit("#"), F.lit("-")).alias("rep"), F.trim(F.concat(F.lit("  "), "p_type", F.lit(" "))).alias("trimmed"), F.lpad(c("p_size").cast("string"), 4, "0").alias("pad"), c("p_brand").startswith("Brand#1").alias("starts"), F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("tail"))
 
 
-@query("fn_dates", "SELECT event_id, date_trunc('hour', ts)::TIMESTAMP AS h, year(ts) AS y, month(ts) AS m, dayofmonth(ts) AS dd, strftime(ts, '%Y-%m-%d %H:%M') AS text, ts + INTERVAL 90 MINUTE AS later, epoch_ms(ts) AS ms, ts::DATE AS day FROM events")
+@query("fn_dates", "SELECT event_id, date_trunc('hour', ts)::TIMESTAMP AS h, year(ts) AS y, month(ts) AS m, dayofmonth(ts) AS dd, strftime(ts, '%Y-%m-%d %H:%M') AS text, ts + INTERVAL 90 MINUTE AS later, epoch_ms(date_trunc('second', ts)) AS ms, ts::DATE AS day FROM events")
 def fn_dates(spark, d):
-    return sql(spark, d, "SELECT event_id, date_trunc('hour', ts)::timestamp_ntz AS h, year(ts)::bigint AS y, month(ts)::bigint AS m, dayofmonth(ts)::bigint AS dd, date_format(ts, 'yyyy-MM-dd HH:mm') AS text, ts + INTERVAL 90 MINUTE AS later, unix_millis(ts::timestamp) AS ms, ts::date AS day FROM {events}")
+    return sql(spark, d, "SELECT event_id, date_trunc('hour', ts)::timestamp_ntz AS h, year(ts)::bigint AS y, month(ts)::bigint AS m, dayofmonth(ts)::bigint AS dd, date_format(ts, 'yyyy-MM-dd HH:mm') AS text, ts + INTERVAL 90 MINUTE AS later, unix_millis(date_trunc('second', ts)::timestamp) AS ms, ts::date AS day FROM {events}")
 
 
-@query("fn_math", "SELECT l_orderkey, l_linenumber, l_orderkey % 7 AS rest, l_orderkey // 7 AS whole, abs(l_discount - l_tax) AS gap, greatest(l_discount, l_tax) AS top, least(l_discount, l_tax) AS low, round(l_extendedprice / nullif(l_quantity, 1), 4) AS per FROM lineitem")
+@query("fn_math", "SELECT l_orderkey, l_linenumber, l_orderkey % 7 AS rest, l_orderkey // 7 AS whole, abs(l_discount - l_tax) AS gap, greatest(l_discount, l_tax) AS top, least(l_discount, l_tax) AS low, l_extendedprice / nullif(l_quantity, 1) AS per FROM lineitem")
 def fn_math(spark, d):
-    return sql(spark, d, "SELECT l_orderkey, l_linenumber, l_orderkey % 7 AS rest, l_orderkey div 7 AS whole, abs(l_discount - l_tax) AS gap, greatest(l_discount, l_tax) AS top, least(l_discount, l_tax) AS low, round(l_extendedprice / nullif(l_quantity, 1), 4) AS per FROM {lineitem}")
+    return sql(spark, d, "SELECT l_orderkey, l_linenumber, l_orderkey % 7 AS rest, l_orderkey div 7 AS whole, abs(l_discount - l_tax) AS gap, greatest(l_discount, l_tax) AS top, least(l_discount, l_tax) AS low, l_extendedprice / nullif(l_quantity, 1) AS per FROM {lineitem}")
 
 
 @query("fn_nulls", "SELECT event_id, coalesce(CASE WHEN value > 50 THEN event_type END, 'none') AS kind, nullif(event_type, 'view') AS other FROM events")
