@@ -80,7 +80,7 @@ class Tree:
         weighted, stop = block[depth], [None] * (depth + 1)
         for d in range(depth - 1, -1, -1):
             n, up = len(nodes[d]), parent[d + 1]
-            below = np.bincount(up, weighted, n)
+            below = np.bincount(up, weighted, n).astype(float)
             # events that no longer context has are charged to the node's own estimate on either side
             a = np.maximum(zero[d] - np.bincount(up, zero[d + 1], n), 0)
             b = np.maximum(one[d] - np.bincount(up, one[d + 1], n), 0)
@@ -233,7 +233,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             w = K.words(raw, offsets)
             hashes = w.hashes()
             at, hit = look(hashes)
-            base = np.bincount(w.row[hit], logs[at[hit]], rows) if len(known) else np.zeros(rows)
+            base = np.bincount(w.row[hit], logs[at[hit]], rows).astype(float) if len(known) else np.zeros(rows)
             n_known = np.bincount(w.row[hit], minlength=rows)
             end_at, end_hit = look(np.array([END], np.int64).view(np.uint64))
             if end_hit[0]:

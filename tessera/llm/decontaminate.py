@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
+from tessera.llm.frames import anonymous
 
 SPAN, SIMILARITY, LEAST = 12, 0.8, 5
 #: Positions that each mask reads. Each ignores four, and among them the masks ignore every position but the first.
@@ -140,8 +141,10 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", most:
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``_items`` (ids of the benchmark items found, ascending) and ``_overlap`` (tokens of the longest
-    overlap, 0 if none). Null and empty texts, and an empty benchmark, have no items."""
+    overlap, 0 if none). Null and empty texts, and an empty benchmark, have no items. Input columns of these names are
+    replaced."""
     K.bound_batches(docs.sparkSession)
+    docs = docs.drop("_items", "_overlap")
     names = docs.columns
     at = names.index(text)
     out = docs.withColumn("_items", F.array().cast("array<long>")).withColumn("_overlap", F.lit(0).cast("long"))
@@ -161,7 +164,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage; columns stay as they are."""
-    return scan(docs, benchmark, text).filter(F.size("_items") == 0).select(*docs.columns)
+    plain, of, back = anonymous(docs)
+    return back(scan(plain, benchmark, of[text]).filter(F.size("_items") == 0))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -208,7 +208,9 @@ def extract(html: str | None) -> str:
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` without the markup and with ``_main``, the main text. Null and empty pages have an empty one."""
+    """``pages`` without the markup and with ``_main``, the main text. Null and empty pages have an empty one. An input
+    column of that name is replaced."""
+    pages = pages.drop("_main")
     keep = [c for c in pages.columns if c != html]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

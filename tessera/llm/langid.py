@@ -200,7 +200,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` without its text and with ``_lang``, ``_score`` (the winner's probability), ``_runner_up`` and
-    ``_ambiguous``. Null texts and texts without a letter are ``und`` with score 0, as all are without a model."""
+    ``_ambiguous``. Null texts and texts without a letter are ``und`` with score 0, as all are without a model. Input columns of these names are replaced."""
+    docs = docs.drop("_lang", "_score", "_runner_up", "_ambiguous")
     keep = [c for c in docs.columns if c != text]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

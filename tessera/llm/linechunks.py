@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
+from tessera.llm.frames import anonymous
 from tessera.plans.lineage import cut
 
 WINDOW, LEAST, MOST = 2, 2, 64
@@ -122,16 +123,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``docs`` with repeated passages taken out of ``text``, and ``_lines`` and ``_removed`` (lines before; taken out).
 
     Null texts stay null and have no lines; an empty one has one, and texts without repeats stay byte for byte. A text
-    that loses all lines becomes empty. Rows that repeat a key and text are one document: they lose the same chunks.
+    that loses all lines becomes empty. Input columns named as the added ones are replaced. Rows that repeat a key and text are one document: they lose the same chunks.
     """
     gone = repeated(docs, key, text).distinct().groupBy("_key", "_id").agg(F.collect_list(F.struct("_first", "_lines")).alias("_gone"))
-    keyed = docs.withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
+    docs = docs.drop("_lines", "_removed")
+    plain, of, _ = anonymous(docs)
+    key, text = of[key], of[text]
+    keyed = plain.withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
     joined = keyed.join(gone.select("_id", "_gone"), "_id", "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (i >= g["_first"]) & (i < g["_first"] + g["_lines"])))
     removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda n, g: n + g["_lines"]), F.lit(0)).cast("long")
     out = joined.withColumns({"_all": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_removed": removed, "_left": F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))})
-    columns = [F.col("_left").alias(c) if c == text else F.col(c) for c in docs.columns]
+    columns = [(F.col("_left") if c == text else F.col(c)).alias(name) for name, c in of.items()]
     return out.select(*columns, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_all")).cast("long").alias("_lines"), "_removed")
 
 

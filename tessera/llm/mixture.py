@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import anonymous
 from tessera.plans.lineage import cut
 
 WEIGHTS = (1, 2, 3)
@@ -151,14 +152,15 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` as the mix has them, all columns as they were: each row as often as its text is taken, to the nearest
     whole number; texts without words once."""
-    columns = docs.columns
     found = taken(docs, key, text, source, **how)
+    plain, of, back = anonymous(docs)
+    key, text, source = of[key], of[text], of[source]
     whole = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.sum("_taken").over(Window.partitionBy(*_same)) / F.count("*").over(Window.partitionBy(*_same)) / F.col("_size") + 0.5))
     times = found.select(*_same, whole.cast("int").alias("_times")).distinct().filter("_times > 0")
     name, none = F.coalesce(F.col(source), F.lit("")), F.col(source).isNull()
-    keyed = docs.withColumns({"_s": name, "_z": none, "_text": F.xxhash64(F.col(key), F.col(text))})
+    keyed = plain.withColumns({"_s": name, "_z": none, "_text": F.xxhash64(F.col(key), F.col(text))})
     met = keyed.join(times.drop("_key", "_size"), ["_s", "_z", "_text"])
-    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*columns)
+    return back(met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))))
 
 
 _same = ("_key", "_s", "_z", "_text", "_size")

@@ -95,7 +95,7 @@ def directory(assigned: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
     """Writes ``docs`` to ``path`` with one folder per shard. Keys must be unique and not null."""
     placed = assign(docs, limit, key, text).select(key, "shard")
-    docs.join(placed, key).repartition("shard").write.partitionBy("shard").parquet(path)
+    docs.drop("shard").join(placed, key).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

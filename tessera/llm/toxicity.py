@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
+from tessera.llm.frames import anonymous
 from tessera.llm.split import held_out, smallest
 
 #: Labelled documents that learning reads at most.
@@ -188,7 +189,9 @@ def _apply(model, spark):
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without its text and with ``_score`` (0 to 1), ``_sentence`` (the number of the most offending
-    sentence, from 0; null if none has evidence) and ``_sentence_score``. Null and empty texts score the leak."""
+    sentence, from 0; null if none has evidence) and ``_sentence_score``. Null and empty texts score the leak. Input
+    columns of these names are replaced."""
+    docs = docs.drop("_score", "_sentence", "_sentence_score")
     keep = [c for c in docs.columns if c != text]
     found = _apply(model, docs.sparkSession)
 
@@ -232,10 +235,10 @@ def locate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; columns stay as they are."""
-    columns = docs.columns
     model = train(docs, labels, key, text)
-    scored = score(docs.withColumn("_of", F.col(text)), model, "_of")
-    return scored.filter(F.col("_score") < threshold).select(*columns)
+    plain, of, back = anonymous(docs)
+    scored = score(plain.withColumn("_of", F.col(of[text])), model, "_of")
+    return back(scored.filter(F.col("_score") < threshold))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
