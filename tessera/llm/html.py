@@ -38,7 +38,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of a class or id that name boilerplate.
 HINTS = frozenset(
     "ad ads adv advert advertisement advertisements adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar footer header masthead topbar comment comments respond disqus replies cookie cookies consent notice gdpr popup modal newsletter subscribe "
+    "sidebar footer header masthead topbar comment comments respond reply replies disqus discussion alert alerts disclaimer cookie cookies consent notice gdpr popup modal newsletter subscribe "
     "signup login share sharing social related recommended widget widgets toolbar pagination pager skip copyright".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")

@@ -155,8 +155,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     found = taken(docs, key, text, source, **how)
     plain, of, back = anonymous(docs)
     key, text, source = of[key], of[text], of[source]
-    whole = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.sum("_taken").over(Window.partitionBy(*_same)) / F.count("*").over(Window.partitionBy(*_same)) / F.col("_size") + 0.5))
-    times = found.select(*_same, whole.cast("int").alias("_times")).distinct().filter("_times > 0")
+    mean = found.groupBy(*_same).agg(F.avg("_taken").alias("_mean"))
+    whole = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_mean") / F.col("_size") + 0.5))
+    times = mean.select(*_same, whole.cast("int").alias("_times")).filter("_times > 0")
     name, none = F.coalesce(F.col(source), F.lit("")), F.col(source).isNull()
     keyed = plain.withColumns({"_s": name, "_z": none, "_text": F.xxhash64(F.col(key), F.col(text))})
     met = keyed.join(times.drop("_key", "_size"), ["_s", "_z", "_text"])

@@ -246,7 +246,13 @@ def test_shards_split_only_when_too_big(spark, limit):
 def test_shards_overflow_and_awkward(spark, odd, nothing, clashing):
     same = spark.createDataFrame([(1, "x" * 30) for _ in range(10)], "doc_id long, text string")
     r = shard.assign(same, 100).collect()
-    assert len(r) == 10 and all(x.shard_bytes <= 120 for x in r) and len({x.shard for x in r}) >= 3
+    assert sorted(collections.Counter(x.shard for x in r).values()) == [1, 3, 3, 3]
+    assert all(x.shard_bytes == 30 * x.shard_docs <= 100 for x in r)
+    one_key = spark.createDataFrame([(None, f"text {i}") for i in range(200)], "doc_id long, text string")
+    size = collections.Counter()
+    for x in shard.assign(one_key, 100).collect():
+        size[x.shard] += x.n_bytes
+    assert sum(size.values()) == sum(len(f"text {i}") for i in range(200)) and max(size.values()) <= 100
     assert shard.assign(nothing, 100).count() == 0
     out = shard.assign(odd, 100)
     assert out.count() == odd.count()
