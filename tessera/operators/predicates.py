@@ -42,8 +42,8 @@ class _Attribute(Predicate):
 
     def column(self, df: DataFrame) -> Column:
         if isinstance(df.schema[self.attribute].dataType, T.ArrayType):
-            return F.coalesce(F.exists(self.attribute, self.test), F.lit(False))
-        return F.coalesce(self.test(F.col(self.attribute)), F.lit(False))
+            return F.exists(self.attribute, self.test)
+        return self.test(F.col(self.attribute))  # null where the attribute is: a filter drops it, ``Not`` resolves it
 
 
 @dataclass(frozen=True)

@@ -39,19 +39,24 @@ class Rows:
     """The rows of a DataFrame; nothing runs before a terminal is called."""
 
     def __init__(self, df: DataFrame, timeout: float | None = None, signal: CancelSignal | None = None):
-        self.df, self._timeout, self._signal = df, timeout, signal
+        self._df, self._timeout, self._signal = df, timeout, signal
+
+    @property
+    def df(self) -> DataFrame:
+        """The DataFrame under a plan of its own: one whose run was stopped doesn't spoil the next."""
+        return self._df.select("*")
 
     def timeout(self, seconds: float) -> Rows:
-        return Rows(self.df, seconds, self._signal)
+        return Rows(self._df, seconds, self._signal)
 
     def under(self, signal: CancelSignal) -> Rows:
-        return Rows(self.df, self._timeout, signal)
+        return Rows(self._df, self._timeout, signal)
 
     def _run(self, work: Callable[[], Any]) -> Any:
         """Runs a terminal; its jobs are interrupted when time is up or the signal says so."""
         if self._timeout is None and self._signal is None:
             return work()
-        context, tag, over = self.df.sparkSession.sparkContext, f"tessera-{next(_numbers)}", threading.Event()
+        context, tag, over = self._df.sparkSession.sparkContext, f"tessera-{next(_numbers)}", threading.Event()
         stopped = threading.Event()
 
         def watch() -> None:

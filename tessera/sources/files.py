@@ -75,7 +75,7 @@ def texts(spark: SparkSession, pattern: str) -> DataFrame:
     """Files as rows of their whole text."""
     from pyspark.sql import functions as F
 
-    return spark.read.option("wholetext", "true").text(pattern).select(F.input_file_name().alias("path"), "value")
+    return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
 def export(df: DataFrame, location: str) -> int:
