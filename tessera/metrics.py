@@ -187,6 +187,30 @@ class QueryProfile:
         return cls(out)
 
 
+class Sampler:
+    """Gauges of this machine and the driver's JVM, and what other processes take."""
+
+    def __init__(self, spark, metrics: Metrics):
+        runtime = spark._jvm.java.lang.Runtime.getRuntime()
+        metrics.gauge("cores", os.cpu_count() or 1)
+        metrics.gauge("busy_cores", lambda: os.getloadavg()[0])
+        metrics.gauge("heap_used", lambda: runtime.totalMemory() - runtime.freeMemory())
+        metrics.gauge("heap_most", lambda: runtime.maxMemory())
+        metrics.gauge("active_jobs", lambda: len(spark.sparkContext.statusTracker().getActiveJobsIds()))
+
+    @staticmethod
+    def other_processes(most: int = 5) -> list[tuple[int, str, float]]:
+        """(process, name, CPU seconds so far) of those that took most, where the system tells."""
+        ticks, found = os.sysconf("SC_CLK_TCK"), []
+        for pid in filter(str.isdigit, os.listdir("/proc") if os.path.isdir("/proc") else []):
+            with contextlib.suppress(OSError):
+                text = open(f"/proc/{pid}/stat", encoding="utf-8", errors="replace").read()
+                name, rest = text[text.index("(") + 1 : text.rindex(")")], text[text.rindex(")") + 2 :].split()
+                if int(pid) != os.getpid():
+                    found.append((int(pid), name, (int(rest[11]) + int(rest[12])) / ticks))
+        return sorted(found, key=lambda x: -x[2])[:most]
+
+
 class Recorder:
     """Writes snapshots as lines of JSON, a file per day, and deletes old days."""
 

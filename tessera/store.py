@@ -240,6 +240,29 @@ class Store:
 
         self.change(work)
 
+    def compact(self, name: str, target_bytes: int = 128 << 20) -> int:
+        """The table in files of about ``target_bytes``; returns how many."""
+        parts = max(1, -(-self.bytes_used(name) // target_bytes))
+        self.change(lambda c: c.replace(name, c.read(name).repartition(parts)))
+        return parts
+
+    def clear(self, name: str) -> None:
+        self.change(lambda c: c.replace(name, c.read(name).limit(0)))
+
+    def drop(self, name: str) -> None:
+        self.change(lambda c: c.drop(name))
+
+    def analyze(self, name: str) -> dict[str, int]:
+        """Counts rows and bytes and notes them with the table."""
+        found = {"rows": self.read(name).count(), "bytes": self.bytes_used(name)}
+        self.change(lambda c: c.note(name, **found))
+        return found
+
+    def describe(self, name: str) -> str:
+        entry = self.state().tables[name]
+        fields = ", ".join(f"{f['name']} {f['type'] if isinstance(f['type'], str) else f['type']['type']}" for f in entry["schema"]["fields"])
+        return f"{name}({fields})" + (f" key {', '.join(entry['key'])}" if entry["key"] else "")
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Deletes all manifests but the last ``keep`` and the folders that none of these uses."""
         names = [n for n in self.files.names("_manifests") if n.endswith(".json")]
@@ -255,3 +278,52 @@ class Store:
         for n in names[:-keep]:
             self.files.delete(f"_manifests/{n}")
         return gone
+
+
+class BulkWriter:
+    """Collects rows and writes them in chunks; ``with`` writes what is left.
+
+    ``new_keys`` refuses rows whose keys the table has; else rows replace those of the same key (the last of a key
+    counts), or are just added if the table has no key."""
+
+    def __init__(self, store: Store, table: str, chunk: int = 131_072, new_keys: bool = False):
+        self.store, self.table, self.chunk, self.new_keys = store, table, chunk, new_keys
+        state = store.state()
+        self._schema, self._key = state.schema(table), state.tables[table]["key"]
+        self._rows: list[tuple] = []
+        self.written = 0
+
+    def add(self, *row: Any) -> None:
+        self._rows.append(row)
+        if len(self._rows) >= self.chunk:
+            self.flush()
+
+    def add_all(self, rows: Any) -> None:
+        for row in rows:
+            self.add(*row)
+
+    def flush(self) -> None:
+        rows = self._rows
+        if not rows:
+            return
+        if self._key and not self.new_keys:
+            at = [self._schema.names.index(k) for k in self._key]
+            rows = list({tuple(r[i] for i in at): r for r in rows}.values())
+        df = self.store.spark.createDataFrame(rows, self._schema)
+
+        def work(c: Change) -> None:
+            if self._key and not self.new_keys:
+                c.upsert(self.table, df)
+            else:
+                c.insert(self.table, df)
+
+        self.store.change(work)
+        self.written += len(rows)
+        self._rows = []
+
+    def __enter__(self) -> BulkWriter:
+        return self
+
+    def __exit__(self, kind: Any, *_: Any) -> None:
+        if kind is None:
+            self.flush()

@@ -12,9 +12,9 @@ from tessera.materialization import Materialization
 from tessera.store import Store
 
 
-def tail_files(spark: SparkSession, folder: str, schema, kind: str = "parquet", per_batch: int = 100) -> DataFrame:
-    """A stream of the files that a folder has and gets."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).format(kind).load(folder)
+def tail_files(spark: SparkSession, folder: str, schema, kind: str = "parquet", per_batch: int = 100, pattern: str = "*") -> DataFrame:
+    """A stream of the files that a folder has and gets, those whose names match the pattern."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", pattern).format(kind).load(folder)
 
 
 def append_to(stream: DataFrame, store: Store, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

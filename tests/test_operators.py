@@ -11,7 +11,7 @@ from tessera.operators import joins as J
 from tessera.operators import predicates as P
 from tessera.operators.ordering import ascending, declared, descending, numbered
 from tessera.operators.paging import Pages, ResultWindow
-from tessera.operators.vector import Metric, VectorSearch
+from tessera.operators.vector import Metric, VectorIndex, VectorSearch
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +218,13 @@ def test_vectors(spark):
     assert top(Metric.EUCLIDEAN, [0.0, 0.0], 9, F.col("c") == "a") == [(1, 1.0), (2, 5.0)]
     with pytest.raises(ValueError):
         VectorSearch(df, "v", "id", dimensions=2).top_k([1.0], 1)
+
+
+def test_vector_index(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    index = VectorIndex.build(df, "embedding", "vec_id", str(tmp_path / "index"), lists=8)
+    assert spark.read.parquet(str(tmp_path / "index")).count() == df.count()
+    for r in df.limit(5).collect():
+        exact = [x.vec_id for x in VectorSearch(df, "embedding", "vec_id").top_k(list(r.embedding), 5).collect()]
+        assert [x.vec_id for x in index.top_k(list(r.embedding), 5, probes=8).collect()] == exact
+        assert len(set(exact) & {x.vec_id for x in index.top_k(list(r.embedding), 5, probes=5).collect()}) >= 4

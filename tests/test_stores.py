@@ -10,7 +10,7 @@ from tessera.materialization import Materialization
 from tessera.operators.aggregates import rollup_of
 from tessera.schema import columns
 from tessera.sparse import SparseBatch, SparseTable
-from tessera.store import Conflict, Store, StoreError
+from tessera.store import BulkWriter, Conflict, Store, StoreError
 from tessera.streaming.tail import append_to, fold_into, sessions, tail_files, windowed
 
 
@@ -158,3 +158,19 @@ def test_streams(spark, store, tmp_path):
     assert pairs(m.df().groupBy("k").agg(F.sum("n").alias("n")), "k", "n") == [("a", 3), ("b", 1)]
     assert pairs(windowed(events, "ts", "1 hour"), "n") == [(1,), (2,)]
     assert pairs(sessions(events, "ts", "30 minutes", ["k"]), "k", "n") == [("a", 2), ("b", 1)]
+
+
+def test_bulk_writer_and_housekeeping(spark, store):
+    schema = columns(id="long", v="string")
+    store.change(lambda c: c.create("t", schema, ["id"]))
+    with BulkWriter(store, "t", chunk=3) as w:
+        w.add_all([(1, "a"), (2, "b"), (1, "c"), (3, "d"), (2, "e")])
+    assert w.written == 4 and pairs(store.read("t"), "id", "v") == [(1, "c"), (2, "e"), (3, "d")]
+    with pytest.raises(StoreError), BulkWriter(store, "t", new_keys=True) as w:
+        w.add(1, "x")
+    assert store.describe("t") == "t(id long, v string) key id"
+    assert store.compact("t") == 1 and store.analyze("t")["rows"] == 3
+    store.clear("t")
+    assert store.read("t").count() == 0 and store.exists("t")
+    store.drop("t")
+    assert not store.exists("t")
