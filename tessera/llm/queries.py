@@ -15,6 +15,5 @@ QUERIES = {
     "op10_html": html.query,
 }
 ORACLES: dict[str, str] = {
-    "op3_quality": quality.query,
     "op5_shard": shard.ORACLE,
 }
