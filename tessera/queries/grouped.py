@@ -59,7 +59,8 @@ def agg_median(spark, d):
 
 @query("agg_quantile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10 FROM lineitem GROUP BY l_returnflag")
 def agg_quantile(spark, d):
-    return Tables(spark, d).lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.95)), 4).alias("p95"), F.round(F.percentile("l_extendedprice", F.lit(0.1)), 4).alias("p10"))
+    both = Tables(spark, d).lineitem.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.95), F.lit(0.1))).alias("p"))
+    return both.select("l_returnflag", F.round(F.col("p")[0], 4).alias("p95"), F.round(F.col("p")[1], 4).alias("p10"))
 
 
 @query("agg_latest_per_user", "SELECT user_id, arg_max(v, ts) AS v FROM (SELECT user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) GROUP BY user_id")
