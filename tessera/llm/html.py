@@ -41,6 +41,8 @@ HINTS = frozenset(
     "sidebar footer header masthead topbar comment comments respond reply replies disqus discussion alert alerts disclaimer cookie cookies consent notice gdpr popup modal newsletter subscribe "
     "signup login share sharing social related recommended widget widgets toolbar pagination pager skip copyright".split()
 )
+#: With one of these beside it, a word says what a wrapper has or lacks, not what it is: ``has-sidebar``.
+SAYS = frozenset("has have with no without hide show".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _GAUSS = np.exp(-(np.arange(-REACH, REACH + 1) ** 2) / (2 * SIGMA**2))
 
@@ -74,9 +76,10 @@ class _Page(HTMLParser):
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
                 return True
             if name in ("class", "id") and value:
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & HINTS and not (words & {"header", "banner"} and self.within("article", "main")):
-                    return True
+                for part in value.split():
+                    words = {w.lower() for w in _WORD.findall(part)}
+                    if words & HINTS and not words & SAYS and not (words & {"header", "banner"} and self.within("article", "main")):
+                        return True
         return False
 
     def within(self, *kinds: str) -> bool:
@@ -188,10 +191,7 @@ def _region(page: _Page) -> np.ndarray:
     return inside
 
 
-def extract(html: str | None) -> str:
-    """The main text of a page; empty if there is none."""
-    if not html:
-        return ""
+def _parsed(html: str) -> _Page:
     try:
         (page := _Page()).feed(html)
         page.close()
@@ -199,6 +199,14 @@ def extract(html: str | None) -> str:
         (page := _Page()).feed(html.replace("<![", "&lt;!["))
         page.close()
     page.flush()
+    return page
+
+
+def extract(html: str | None) -> str:
+    """The main text of a page; empty if there is none."""
+    if not html:
+        return ""
+    page = _parsed(html)
     if not page.lines:
         return ""
     inside = _region(page)

@@ -352,7 +352,7 @@ def test_main_text():
     assert html.extract(PAGE) == want
 
 
-@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("  \n", ""), ("<p>", ""), ("plain &lt;text&gt; only", "plain <text> only"), ("<p>a<![if x]>b", "ab"), ("<article><h1>T</h1><p>x<br>y", "T\nx y"), ("<script>only()</script>", ""), ("<div>" * 3000 + "deep", "deep")])
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("  \n", ""), ("<p>", ""), ("plain &lt;text&gt; only", "plain <text> only"), ("<p>a<![if x]>b", "ab"), ("<article><h1>T</h1><p>x<br>y", "T\nx y"), ("<script>only()</script>", ""), ('<div class="ad">Buy</div><article></article>', ""), ('<body class="has-sidebar"><p>x</p><div id=sideBar>y</div>', "x"), ("<div>" * 3000 + "deep", "deep")])
 def test_main_text_of_odd_pages(page, text):
     assert html.extract(page) == text
 
