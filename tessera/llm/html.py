@@ -43,7 +43,7 @@ HINTS = frozenset(
 )
 #: With one of these beside it, a word says what a wrapper has or lacks, not what it is: ``has-sidebar``.
 SAYS = frozenset("has have with no without hide show".split())
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_WORD, _RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"[a-z]+")
 _GAUSS = np.exp(-(np.arange(-REACH, REACH + 1) ** 2) / (2 * SIGMA**2))
 
 
@@ -77,7 +77,7 @@ class _Page(HTMLParser):
                 return True
             if name in ("class", "id") and value:
                 for part in value.split():
-                    words = {w.lower() for w in _WORD.findall(part)}
+                    words = {w.lower() for w in _WORD.findall(part)} | set(_RUN.findall(part.lower()))
                     if words & HINTS and not words & SAYS and not (words & {"header", "banner"} and self.within("article", "main")):
                         return True
         return False
