@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import cut
+
 
 def ascending(*columns: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
@@ -29,9 +31,12 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position", partiti
 
     Rows are range-partitioned by the order; a partition's rows are counted, and numbers start after the rows of the
     partitions before. Ties are told apart arbitrarily unless the order is total.
+
+    Ranges come from a sample that each run draws anew, so the partitioned rows are written to the checkpoint folder:
+    counts and numbers then speak of the same partitions, whatever is run again.
     """
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    ranged = ranged.withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged.withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", before.alias("_start"))  # one row per partition
