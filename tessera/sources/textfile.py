@@ -181,7 +181,7 @@ class FileTables:
 
     def clear(self, name: str) -> None:
         self.store.change(lambda c: c.drop(name))
-        self.store.vacuum()
+        self.store.vacuum(idle=0, table=name)
 
     def trim(self, most_bytes: int, in_use: frozenset[str] = frozenset()) -> list[str]:
         """Drops tables, those used longest ago first and never those in use, until the room suffices."""

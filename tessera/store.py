@@ -11,6 +11,7 @@ All files are reached through Hadoop's file system layer, so a store may be on a
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -78,6 +79,9 @@ class FileSystem:
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
 
+    def modified(self, name: str) -> float:
+        return self._fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def size(self, name: str) -> int:
         path = self.path(name)
         return int(self._fs.getContentSummary(path).getLength()) if self._fs.exists(path) else 0
@@ -263,19 +267,22 @@ class Store:
         fields = ", ".join(f"{f['name']} {f['type'] if isinstance(f['type'], str) else f['type']['type']}" for f in entry["schema"]["fields"])
         return f"{name}({fields})" + (f" key {', '.join(entry['key'])}" if entry["key"] else "")
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Deletes all manifests but the last ``keep`` and the folders that none of these uses."""
+    def vacuum(self, keep: int = 1, idle: float = 86_400.0, table: str | None = None) -> list[str]:
+        """Deletes all manifests but the last ``keep`` and the folders that none of these uses.
+
+        A folder younger than ``idle`` seconds may belong to a change that isn't published yet, and stays. With a
+        ``table``, only its folders go."""
         names = [n for n in self.files.names("_manifests") if n.endswith(".json")]
         kept = names[-keep:]
         used = {f for n in kept for entry in json.loads(self.files.read(f"_manifests/{n}")).values() for f in entry["folders"]}
-        gone = []
-        for table in self.files.names(""):
-            if not table.startswith("_"):
-                for folder in self.files.names(table):
-                    if f"{table}/{folder}" not in used:
-                        self.files.delete(f"{table}/{folder}")
-                        gone.append(f"{table}/{folder}")
-        for n in names[:-keep]:
+        limit, gone = time.time() - idle, []
+        for name in [table] if table else self.files.names(""):
+            if not name.startswith("_"):
+                for folder in self.files.names(name):
+                    if f"{name}/{folder}" not in used and self.files.modified(f"{name}/{folder}") <= limit:
+                        self.files.delete(f"{name}/{folder}")
+                        gone.append(f"{name}/{folder}")
+        for n in [] if table else names[:-keep]:
             self.files.delete(f"_manifests/{n}")
         return gone
 
