@@ -161,7 +161,7 @@ def sums(values: np.ndarray, row_start: np.ndarray) -> np.ndarray:
     return out
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about ``most_bytes`` at most; one longer text makes a slice by itself."""
     for batch in batches:
         _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
