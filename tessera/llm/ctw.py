@@ -34,7 +34,9 @@ HEAD = 1 << 19
 FOLDS = 7
 #: The key that counts ends of texts among the words.
 END = -0x5E3D0F0E7D5A1C33
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
+#: Bytes of text that are scored or counted at a time; each takes some ten words of memory.
+_SLICE = 1 << 20
 _MEMO_BITS = 22
 
 
@@ -150,7 +152,7 @@ def _count(depth: int):
                 part = keys[i : i + (1 << 16)].astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(n[i : i + (1 << 16)])], names=["_kind", "_k", "_n"])
 
-        for batch in K.batches_of(batches, "_text"):
+        for batch in K.batches_of(batches, "_text", _SLICE):
             raw, offsets = K.text_bytes(batch.column(0))
             raw = K.LOWER[raw]
             words = K.words(raw, offsets).hashes()
@@ -224,7 +226,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
             return at, known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
 
-        for batch in K.batches_of(batches, "_text"):
+        for batch in K.batches_of(batches, "_text", _SLICE):
             rows = batch.num_rows
             raw, offsets = K.text_bytes(batch.column(2))
             raw = K.LOWER[raw]
