@@ -37,7 +37,7 @@ END = -0x5E3D0F0E7D5A1C33
 _FLUSH = 1 << 21
 #: Bytes of text that are scored or counted at a time; each takes some ten words of memory.
 _SLICE = 1 << 20
-_MEMO_BITS = 22
+_MEMO_BITS = 21
 
 
 def events(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def _count(depth: int):
 def counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """Counts over ``docs``: ``_kind`` 0 for words (``_k``: hash, or ``END``), 1 for events (``_k``: code)."""
     K.bound_batches(docs.sparkSession)
-    seen = docs.select(F.col(text).alias("_text")).mapInArrow(_count(depth), "_kind byte, _k long, _n long")
+    seen = docs.select(F.col(text).alias("_text")).mapInArrow(K.lean(_count(depth)), "_kind byte, _k long, _n long")
     return seen.groupBy("_kind", "_k").agg(F.sum("_n").alias("_n"))
 
 
@@ -272,7 +272,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     schema = picked.select("_key", "_id").schema
     for name, kind in (("_w", "long"), ("_times", "long"), ("_tokens", "long"), ("_known", "long"), ("_bytes", "long"), ("_base", "double"), ("_score", "double")):
         schema = schema.add(name, kind)
-    parts = picked.mapInArrow(run, schema)
+    parts = picked.mapInArrow(K.lean(run), schema)
     # a text's own row (0 times) goes by its id and adds nothing here, whatever it meets
     met = parts.join(words.filter(F.col("_n") < F.lit(floor)), parts["_w"] == words["_k"], "left")
     log = F.col("_times") * F.log10(F.coalesce(F.col("_n"), F.lit(0)).cast("double") + 1)

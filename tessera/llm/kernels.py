@@ -6,6 +6,7 @@ and no Python object. A word is a maximal run of bytes other than space and ``\\
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPAN = 1 << 21
+_SPAN = 1 << 18
 _powers = {1: (np.ones(1, U64), np.ones(1, U64))}
 
 #: Rows that one Arrow batch carries to Python. With whole texts of up to hundreds of KB it bounds a worker's memory.
@@ -34,6 +35,23 @@ def bound_batches(spark, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def lean(run):
+    """A batch function that gives its memory back when its input ends.
+
+    Workers are kept for later tasks, and the allocator would keep what the largest batch took for them."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64: every input bit reaches every output bit."""
     x = x.astype(U64, copy=True)
