@@ -71,13 +71,15 @@ class VectorIndex:
 
     Centres are fitted on ``SAMPLE`` vectors at most, those with the smallest hashes of their ids; every vector that has
     the right length is put into the list of its nearest centre. Written as Parquet by list, so that a search reads the
-    lists it looks into. The more lists a search probes, the higher its recall; with all of them it is exact.
+    lists it looks into. The more lists a search probes, the higher its recall; with all of them it is exact. ``probes``
+    is set so that ``RECALL`` of the true neighbours of ``QUERIES`` sample vectors, found by brute force in the sample, lie
+    in the lists probed.
     """
 
-    SAMPLE = 20_000
+    SAMPLE, QUERIES, RECALL, NEIGHBOURS = 20_000, 200, 0.97, 10
 
-    def __init__(self, spark: SparkSession, location: str, centres: np.ndarray, id: str, vector: str, metric: Metric):
-        self.spark, self.location, self.centres, self.id, self.vector, self.metric = spark, location, centres, id, vector, metric
+    def __init__(self, spark: SparkSession, location: str, centres: np.ndarray, id: str, vector: str, metric: Metric, probes: int):
+        self.spark, self.location, self.centres, self.id, self.vector, self.metric, self.probes = spark, location, centres, id, vector, metric, probes
 
     @classmethod
     def build(cls, df: DataFrame, vector: str, id: str, location: str, lists: int = 64, metric: Metric = Metric.COSINE, rounds: int = 15) -> VectorIndex:
@@ -94,6 +96,7 @@ class VectorIndex:
         for _ in range(rounds):
             near = cls._nearest(sample, centres)
             centres = np.stack([sample[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))])
+        probes = cls._probes(sample, centres, metric)
         shared = df.sparkSession.sparkContext.broadcast(centres)
         unit = metric is Metric.COSINE
 
@@ -106,17 +109,33 @@ class VectorIndex:
 
         placed = usable.filter((F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull())).withColumn("_list", list_of(vector))
         placed.repartition("_list").write.mode("overwrite").partitionBy("_list").parquet(location)
-        return cls(df.sparkSession, location, centres, id, vector, metric)
+        return cls(df.sparkSession, location, centres, id, vector, metric, probes)
 
     @staticmethod
     def _nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
         return ((centres**2).sum(axis=1)[None, :] - 2 * v @ centres.T).argmin(axis=1)
 
-    def top_k(self, query: list[float], k: int, probes: int = 16, where: Column | None = None) -> DataFrame:
+    @staticmethod
+    def _order(q: np.ndarray, centres: np.ndarray, metric: Metric) -> np.ndarray:
+        """The lists, nearest first."""
+        far = -(centres @ q) if metric is Metric.INNER_PRODUCT else ((centres - q) ** 2).sum(axis=1)
+        return np.argsort(far, kind="stable")
+
+    @classmethod
+    def _probes(cls, sample: np.ndarray, centres: np.ndarray, metric: Metric) -> int:
+        """How many lists hold ``RECALL`` of the sample's true neighbours."""
+        list_of, ranks = cls._nearest(sample, centres), []
+        for q in sample[: cls.QUERIES]:
+            far = -(sample @ q) if metric is Metric.INNER_PRODUCT else ((sample - q) ** 2).sum(axis=1)
+            place = np.empty(len(centres), int)
+            place[cls._order(q, centres, metric)] = np.arange(len(centres))
+            ranks.append(place[list_of[np.argsort(far, kind="stable")[: cls.NEIGHBOURS + 1]]])
+        return int(np.quantile(np.concatenate(ranks), cls.RECALL, method="higher")) + 1
+
+    def top_k(self, query: list[float], k: int, probes: int | None = None, where: Column | None = None) -> DataFrame:
         q = np.array(query, float)
         if self.metric is Metric.COSINE:
             q = q / max(np.linalg.norm(q), 1e-12)
-        far = -(self.centres @ q) if self.metric is Metric.INNER_PRODUCT else ((self.centres - q) ** 2).sum(axis=1)
-        near = [int(i) for i in np.argsort(far, kind="stable")[:probes]]
+        near = [int(i) for i in self._order(q, self.centres, self.metric)[: probes or self.probes]]
         lists = self.spark.read.parquet(self.location).filter(F.col("_list").isin(near))
         return VectorSearch(lists, self.vector, self.id, self.metric).top_k(query, k, where)

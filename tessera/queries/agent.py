@@ -149,6 +149,6 @@ def vector_index_recall(spark, d):
     found, n = 0, 0
     for r in e.orderBy("vec_id").limit(20).collect():
         exact = {x.vec_id for x in VectorSearch(e, "embedding", "vec_id").top_k(list(r["embedding"]), 10).collect()}
-        found += len(exact & {x.vec_id for x in index.top_k(list(r["embedding"]), 10, probes=10).collect()})
+        found += len(exact & {x.vec_id for x in index.top_k(list(r["embedding"]), 10).collect()})
         n += 1
     return spark.createDataFrame([(n, found >= 0.9 * 10 * n)], "queries long, enough boolean")
