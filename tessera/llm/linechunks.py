@@ -6,6 +6,11 @@ Chunks have ``LEAST`` lines at least (but the rest of a text may be shorter) and
 lines that occurs in more than one place stays where it comes first, by key and then by line, and goes elsewhere, after
 its bytes were compared with those of the place that stays.
 
+A passage between differing neighbours shares its edges' chunks with them, and a short one holds no chunk of its own. So
+``whole`` makes every pair of neighbouring lines, and every line of over ``LONG`` words, a unit beside the chunks: they
+extend a repeated chunk line by line to the passage's edges and find passages that hold no chunk. Every line that goes
+still stands where the order by key and line has it first; a unit that overlaps its own first place stays.
+
 Only hashes and places of chunks are shuffled by hash. Texts of chunks move for those whose hash may repeat: a bit table
 of fixed size picks them in a second pass. Every occurrence is compared with one representative by a join on the hash,
 so no group is gathered anywhere.
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
@@ -27,7 +32,9 @@ from tessera.plans.lineage import cut
 WINDOW, LEAST, MOST = 2, 2, 64
 #: One line in so many is a candidate for a boundary.
 EVERY = 2
-_TABLE_BITS = 22
+#: A line of more words is a passage by itself.
+LONG = 50
+_TABLE_BITS = 25
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,16 +84,43 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return row[begin], number[begin], stop - begin, first, last, K.slice_hashes(raw, first, last)
 
 
+def _units(texts: pa.Array, whole: bool) -> tuple[np.ndarray, ...]:
+    """Like ``chunks``, what can be taken out: chunks of several lines; with ``whole`` also long lines, and the pairs of
+    neighbouring lines that aren't chunks themselves. Nothing but newlines is no passage."""
+    found = chunks(texts)
+    many = found[2] >= 2
+    parts = [tuple(x[many] for x in found)]
+    if whole:
+        raw, offsets = K.text_bytes(texts)
+        start, end, row = _lines(raw, offsets)
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        words = K.words(raw, offsets).start
+        long = np.flatnonzero(np.searchsorted(words, end) - np.searchsorted(words, start) > LONG)
+        line = np.searchsorted(row, found[0]) + found[1]
+        pair = np.setdiff1d(np.flatnonzero(row[1:] == row[:-1]), line[found[2] == 2], assume_unique=True)
+        for at, lines in ((long, 1), (pair, 2)):
+            first, last = start[at], end[at + lines - 1]
+            parts.append((row[at], number[at], np.full(len(at), lines), first, last, K.slice_hashes(raw, first, last)))
+    units = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    full = units[4] - units[3] >= units[2]
+    return tuple(x[full] for x in units)
+
+
 def _table(seen: DataFrame) -> np.ndarray:
-    """A bit table of the hashes that occur more than once."""
+    """A bit table of the hashes that occur more than once, eight to a byte."""
     bits = np.zeros(1 << _TABLE_BITS, bool)
     slot = F.shiftrightunsigned("_hash", 64 - _TABLE_BITS).cast("int")
     bits[seen.select(slot.alias("_slot")).distinct().toArrow()["_slot"].to_numpy()] = True  # at most as many as the table has
-    return bits
+    return np.packbits(bits, bitorder="little")
+
+
+def _listed(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - _TABLE_BITS)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_key, _id`` (hash of key and text), ``_first, _lines``: the chunks to remove."""
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """``_key, _id`` (hash of key and text), ``_first, _lines``: the units to remove."""
     spark = docs.sparkSession
     K.bound_batches(spark)
     picked = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_id"), F.col(text).alias("_text"))
@@ -94,9 +128,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.batches_of(batches, "_text"):
-            row, first, lines, a, b, h = chunks(batch.column(2))
-            many = (lines >= 2) & (b - a >= lines)  # nothing but newlines is no passage
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[many])), batch.column(1).take(pa.array(row[many])), pa.array(first[many].astype(np.int32)), pa.array(lines[many].astype(np.int32)), pa.array(h[many].view(np.int64))], names=["_key", "_id", *place])
+            row, first, lines, _, _, h = _units(batch.column(2), whole)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(lines.astype(np.int32)), pa.array(h.view(np.int64))], names=["_key", "_id", *place])
 
     schema = picked.select("_key", "_id").schema.add("_first", "integer").add("_lines", "integer").add("_hash", "long")
     found = picked.mapInArrow(hashed, schema)
@@ -108,29 +141,35 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         bits = shared.value
         for batch in K.batches_of(batches, "_text"):
             raw, _ = K.text_bytes(batch.column(2))
-            row, first, lines, a, b, h = chunks(batch.column(2))
-            many = (lines >= 2) & (b - a >= lines) & bits[h >> np.uint64(64 - _TABLE_BITS)]
+            row, first, lines, a, b, h = _units(batch.column(2), whole)
+            many = _listed(bits, h)
             text = pa.array([raw[x:y].tobytes() for x, y in zip(a[many], b[many], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[many])), batch.column(1).take(pa.array(row[many])), pa.array(first[many].astype(np.int32)), pa.array(lines[many].astype(np.int32)), pa.array(h[many].view(np.int64)), text], names=["_key", "_id", *place, "_bytes"])
 
     texts = picked.mapInArrow(cut_out, schema.add("_bytes", "binary"))
-    met = cut(texts.join(twice, "_hash").withColumn("_stays", where.eqNullSafe(F.col("_at"))).drop("_at"))
+    same = F.col("_key").eqNullSafe(F.col("_at.k")) & (F.col("_id") == F.col("_at.i"))
+    met = texts.join(twice, "_hash").filter(~(same & (F.col("_first") > F.col("_at.f")) & (F.col("_first") < F.col("_at.f") + F.col("_lines"))))
+    met = cut(met.withColumn("_stays", where.eqNullSafe(F.col("_at"))).drop("_at"))
     stays = met.filter("_stays").select("_hash", F.col("_bytes").alias("_kept")).groupBy("_hash").agg(F.min("_kept").alias("_kept"))
     return met.filter("NOT _stays").join(stays, "_hash").filter("_bytes = _kept").select("_key", "_id", "_first", "_lines")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``_lines`` and ``_removed`` (lines before; taken out).
 
     Null texts stay null and have no lines; an empty one has one, and texts without repeats stay byte for byte. A text
     that loses all lines becomes empty. Input columns named as the added ones are replaced. Rows that repeat a key and text are one document: they lose the same chunks.
+    ``whole`` takes out repeated passages up to their edges, not only the chunks that lie in them.
     """
-    gone = repeated(docs, key, text).distinct().groupBy("_key", "_id").agg(F.collect_list(F.struct("_first", "_lines")).alias("_gone"))
+    lost = repeated(docs, key, text, whole).select("_id", F.explode(F.sequence("_first", F.col("_first") + F.col("_lines") - 1)).alias("_line")).distinct()
+    runs = lost.withColumn("_run", F.col("_line") - F.row_number().over(Window.partitionBy("_id").orderBy("_line")))
+    runs = runs.groupBy("_id", "_run").agg(F.min("_line").alias("_first"), F.count("*").cast("int").alias("_lines"))
+    gone = runs.groupBy("_id").agg(F.collect_list(F.struct("_first", "_lines")).alias("_gone"))
     docs = docs.drop("_lines", "_removed")
     plain, of, _ = anonymous(docs)
     key, text = of[key], of[text]
     keyed = plain.withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
-    joined = keyed.join(gone.select("_id", "_gone"), "_id", "left")
+    joined = keyed.join(gone, "_id", "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (i >= g["_first"]) & (i < g["_first"] + g["_lines"])))
     removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda n, g: n + g["_lines"]), F.lit(0)).cast("long")
@@ -142,5 +181,5 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: lines before, lines taken out, and the text that is left of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = without_repeats(docs)
+    out = without_repeats(docs, whole=True)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "text")

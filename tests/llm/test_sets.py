@@ -190,6 +190,27 @@ def test_line_chunks_against_brute_force(spark, sf):
     assert sum(got[i].count("shared") for i in range(200)) < 0.5 * sum(t.count("shared") for i, t in texts.items() if i < 200)
 
 
+def test_short_passages_go_whole(spark):
+    """Passages of two to six lines, and one long line, that stand a second time between other neighbours."""
+    rng = random.Random(6)
+    own = lambda n: [f"own line {rng.getrandbits(60)}" for _ in range(n)]
+    texts, want = {}, {}
+    for i in range(150):
+        passage = own(2 + i % 5)
+        a, b, c, d = ([] if rng.random() < 0.2 else own(rng.randint(1, 5)) for _ in range(4))
+        texts[i] = want[i] = "\n".join(a + passage + b)
+        texts[1000 + i], want[1000 + i] = "\n".join(c + passage + d), "\n".join(c + d)
+    long = " ".join(own(1)[0] for _ in range(20))
+    texts |= {1500: f"a\n{long}\nb", 1501: f"c\n{long}\nd"}
+    want |= {1500: f"a\n{long}\nb", 1501: "c\nd"}
+    texts |= {2000: "x\nx\nx", 2001: "y\nz\ny\nz\ny"}
+    want |= {2000: "x\nx\nx", 2001: "y\nz"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in linechunks.without_repeats(docs, whole=True).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r._removed == r._lines - (len(want[i].split("\n")) if want[i] else 0) for i, r in got.items())
+
+
 def test_chunks_hold_all_lines():
     texts = ["", "\n", "a", "a\nb\nc", "\n".join(map(str, range(500))), "\n" * 300]
     row, first, n, *_ = linechunks.chunks(pa.array(texts))
