@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixture, shard, simhash, toxicity
+from tessera.llm import decontaminate, mixture, shard, simhash, similar, toxicity
 from tessera.plans.lineage import cut
 
 
@@ -18,8 +18,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.dedup(docs)
+    """One document of each group of near duplicates: by fingerprints, then by five-word shingles that agree in 80 %."""
+    return similar.dedup(cut(simhash.dedup(docs)))
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

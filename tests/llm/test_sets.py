@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, html, linechunks, mixture, shard, simhash
+from tessera.llm import decontaminate, html, linechunks, mixture, shard, simhash, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,6 +96,57 @@ def test_dedup_awkward(spark, odd, nothing, clashing):
     assert again.columns == clashing.columns and rows(again, "doc_id") == rows(kept, "doc_id")
 
 
+def shingles(text):
+    w = WORD.findall(lowered(text))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies(rng):
+    """Texts with copies in which some words are changed, so that similarities lie on both sides of 0.8."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for i in range(60):
+        w = [word() for _ in range(rng.randint(30, 300))]
+        yield " ".join(w)
+        for _ in range(i % 4):
+            at = set(rng.sample(range(len(w)), max(1, int(len(w) * rng.choice([0.01, 0.02, 0.025, 0.04])))))
+            yield " ".join(word() if j in at else x for j, x in enumerate(w))
+
+
+def test_pipeline_near_duplicates_against_brute_force(spark, sf):
+    texts = dict(enumerate(near_copies(random.Random(8))))
+    sets = {i: shingles(t) for i, t in texts.items()}
+    name = classes(sets, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in similar.dedup(docs).collect()} == set(name.values())
+    left = [sets[r.doc_id] for r in corpus_pipeline.near_duplicates_out(spark, docs, sf).collect()]
+    assert all(jaccard(a, b) < 0.8 for a, b in itertools.combinations(left, 2))
+
+
+def test_near_copies_in_blocks():
+    rng = random.Random(9)
+    base = np.array(sorted(rng.sample(range(1 << 40), 200)), np.uint64)
+    sets = [np.sort(np.concatenate([base[rng.sample(range(200), 190)], np.array(rng.sample(range(1 << 41, 1 << 42), rng.choice([2, 60])), np.uint64)])) for _ in range(40)]
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    edges = similar.forest(sets, 0.8)
+    linked = {frozenset(e) for e in edges}
+    assert all(alike(a, b) for a, b in edges)
+    assert classes(range(40), alike) == classes(range(40), lambda a, b: frozenset((a, b)) in linked)
+
+
+def test_near_copies_awkward(spark, odd, nothing, clashing):
+    kept = similar.dedup(odd)
+    assert rows(kept, "doc_id") == sorted([(1,), (4,), (5,), (7,), (None,), (None,)], key=repr)
+    assert similar.dedup(nothing).count() == 0
+    again = similar.dedup(clashing)
+    assert again.columns == clashing.columns and rows(again, "doc_id") == rows(kept, "doc_id")
+    one_id = spark.createDataFrame([(1, "a b c d e f"), (1, "q r s t u v"), (0, "a b c d e f")], "doc_id long, text string")
+    assert rows(similar.dedup(one_id), "doc_id", "text") == [(0, "a b c d e f"), (1, "q r s t u v")]
+
+
 # decontamination
 
 PASSAGE = "The quick brown fox jumps over the lazy dog while seven wizards brew quite potent mixtures in glass jars"
