@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
+from tessera.llm.frames import anonymous
 from tessera.plans.lineage import cut
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
@@ -211,14 +212,19 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest key, all columns as they were.
 
-    Rows that repeat a key are one document: one of them stays. A row with a null key can't be told from others by its
-    key and is kept as it is.
+    A row is known by its key and text: rows that repeat both are one document, of which one stays, and rows that share a
+    key only are told apart. A row with a null key is kept as it is.
     """
-    named = docs.filter(F.col(key).isNotNull())
-    found = groups(named, key, text, radius, shingle)
-    stay = found.filter(F.col(key) == F.col("_component")).select(F.col(key).alias("_stay")).distinct()
-    kept = named.join(stay, named[key] == stay["_stay"], "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    plain, of, back = anonymous(docs)
+    key, text = of[key], of[text]
+    named = plain.filter(F.col(key).isNotNull()).withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
+    fp = fingerprints(named.select(F.col(key).alias("_key"), "_id", F.col(text).alias("_text")), "_text", shingle)
+    distinct = cut(fp.groupBy("_fp").agg(F.min(F.struct("_key", "_id")).alias("_least")))
+    stars = components(link(distinct.select("_fp"), radius))
+    rooted = distinct.join(stars, distinct["_fp"] == stars["_u"], "left").select("_least", F.coalesce("_v", "_fp").alias("_root"))
+    stay = rooted.groupBy("_root").agg(F.min("_least").alias("_least")).select(F.col("_least._id").alias("_stay"))
+    kept = named.join(stay, named["_id"] == stay["_stay"], "left_semi").dropDuplicates(["_id"]).drop("_id")
+    return back(kept.unionByName(plain.filter(F.col(key).isNull())))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -147,6 +147,11 @@ def test_near_copies_awkward(spark, odd, nothing, clashing):
     assert rows(similar.dedup(one_id), "doc_id", "text") == [(0, "a b c d e f"), (1, "q r s t u v")]
 
 
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (1, "other words that are near no text"), (0, "alpha beta gamma delta epsilon")], "doc_id long, text string")
+    assert rows(simhash.dedup(docs), "doc_id", "text") == [(0, "alpha beta gamma delta epsilon"), (1, "other words that are near no text")]
+
+
 # decontamination
 
 PASSAGE = "The quick brown fox jumps over the lazy dog while seven wizards brew quite potent mixtures in glass jars"
