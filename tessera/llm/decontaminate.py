@@ -1,7 +1,9 @@
 """Benchmark decontamination with spaced seeds.
 
-A spaced seed is a fixed mask over ``SPAN`` tokens that reads only some of them, so a hit survives substituted tokens at
-the positions it ignores. The windows of all benchmark items are hashed under each mask; a document's windows that meet
+A spaced seed is a fixed mask over some tokens that reads only part of them, so a hit survives substituted tokens at
+the positions it ignores. ``MASKS`` miss no stretch that counts: n tokens of which s <= n / 5 differ have n - s agreeing
+ones in s + 1 runs at most, and one run has four tokens or more whenever n > 4 s + 3. That holds for all n >= 12 but for
+s = 3 at n = 15, where four runs of three with single gaps are left: the second mask. The windows of all benchmark items are hashed under each mask; a document's windows that meet
 one of these hashes name an item and an alignment, and the alignment is then compared token by token: the longest
 stretch around it, of at least ``SPAN`` tokens, in which ``SIMILARITY`` of the tokens agree is the overlap.
 
@@ -27,8 +29,8 @@ from tessera.llm import kernels as K
 from tessera.llm.frames import anonymous
 
 SPAN, SIMILARITY, LEAST = 12, 0.8, 5
-#: Positions that each mask reads. Each ignores four, and among them the masks ignore every position but the first.
-MASKS = ("110110101101", "111010110110", "101101110101", "100111011011")
+#: Positions that each mask reads.
+MASKS = ("1111", "111011101110111")
 BLOCK_BYTES = 8 << 20
 
 _SEPARATOR = np.zeros(256, bool)
@@ -65,10 +67,10 @@ class Block:
         counts = np.diff(self.row_start)
         self.seeds, hashes, at = [], [], []
         for number, positions in _seeds():
-            span = SPAN if number < len(MASKS) else len(positions)
+            span = positions[-1] + 1
             first = K.runs(self.row_start, span)
             item = np.searchsorted(self.row_start, first, "right") - 1
-            first = first[counts[item] >= SPAN] if span == SPAN else first[counts[item] == span]
+            first = first[counts[item] >= SPAN] if number < len(MASKS) else first[counts[item] == span]
             if len(first):
                 self.seeds.append((number, positions, span))
                 hashes.append(_windows(self.tokens, first, number, positions))
@@ -94,6 +96,22 @@ class Block:
             found.append(np.unique(np.stack([row, item, doc - own], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    def likely(self, tokens: np.ndarray, row_start: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """The hits whose alignments agree in as many tokens, anywhere, as the shortest stretch that counts needs."""
+        row, item, shift = hits.T
+        lo = np.maximum(self.row_start[item], row_start[row] - shift)
+        n = np.minimum(self.row_start[item + 1], row_start[row + 1] - shift) - lo
+        least = np.minimum(SPAN, np.diff(self.row_start)[item])
+        keep, ends, i = np.zeros(len(hits), bool), np.cumsum(n), 0
+        while i < len(hits):  # about a million compared tokens at a time
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + (1 << 20), "right")))
+            first = np.cumsum(n[i:j]) - n[i:j]
+            own = np.arange(n[i:j].sum()) + np.repeat(lo[i:j] - first, n[i:j])
+            same = self.tokens[own] == tokens[own + np.repeat(shift[i:j], n[i:j])]
+            keep[i:j] = np.add.reduceat(same.astype(np.int64), first) >= SIMILARITY * least[i:j]
+            i = j
+        return hits[keep]
+
     def overlap(self, tokens: np.ndarray, row_start: np.ndarray, row: int, item: int, shift: int) -> int:
         """Tokens of the longest stretch of this alignment that starts and ends with agreeing tokens and agrees in
         ``SIMILARITY`` of them; 0 if it is too short."""
@@ -121,7 +139,7 @@ class Block:
         """(item, overlap) of each text, at most one per item."""
         tokens, row_start = _tokens(texts)
         out: list[dict[int, int]] = [{} for _ in range(len(texts))]
-        for row, item, shift in self.hits(tokens, row_start).tolist():
+        for row, item, shift in self.likely(tokens, row_start, self.hits(tokens, row_start)).tolist():
             if n := self.overlap(tokens, row_start, row, item, shift):
                 key = self.ids[item]
                 out[row][key] = max(n, out[row].get(key, 0))

@@ -199,6 +199,16 @@ def test_overlap_against_brute_force():
         assert block.overlap(tokens, start, 0, 0, 0) == (best if best >= 12 else 0)
 
 
+@pytest.mark.parametrize("n", range(12, 21))
+def test_every_stretch_at_the_bound_is_found(n):
+    """Any choice of as many substituted tokens inside the stretch as four fifths allow."""
+    own = [f"item{i}" for i in range(n)]
+    block = decontaminate.Block([7], pa.array([" ".join(own)]))
+    choices = list(itertools.combinations(range(1, n - 1), n // 5))
+    texts = [" ".join(["before", *("zz" if i in at else x for i, x in enumerate(own)), "after"]) for at in choices]
+    assert all(found == [(7, n)] for found in block.found(pa.array(texts)))
+
+
 def test_decontamination_of_the_tables(spark, sf):
     items = [" ".join(re.findall(r"[^\W_]+", r.text.lower())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     texts = {r.doc_id: " ".join(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
