@@ -1,11 +1,15 @@
 """Main text of web pages by text-to-tag ratio.
 
 Events of the standard library's parser turn a page into lines: one per block, each with the number of its characters,
-of its characters inside links, and of the tags met since the line before. Ratios of text to tags are smoothed with a
-Gaussian over neighbouring lines; those above the page's threshold are content. The content region is the innermost
-container that holds nearly all text of such lines, by preference an ``article`` or ``main`` element; everything in the
-region is kept, short lines too, except parts that declare themselves boilerplate (navigation, forms, adverts, notices,
-reader comments, ...) and lists of links.
+of its characters inside links, and of the tags met since the line before. A line's ratio is the logarithm of its text
+outside links per tag, smoothed with a Gaussian over neighbouring lines. What a line's elements say of themselves
+(navigation, adverts, notices, reader comments, ...) only weighs on that ratio.
+
+Lines over the page's threshold are content, and they choose the region: all ``article`` or ``main`` elements that hold
+most of the content's text, or else the innermost container that holds nearly all of it, with the headings (without such
+an element the paragraphs, too) that stand directly around it. The region weighs on the ratios in turn, and lines over
+the threshold are the text: short lines go with their neighbours, and several lines of links in a row are a list that its
+own ratio leaves out.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +27,19 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 
 SIGMA, REACH = 1.0, 3
-#: Lines whose smoothed ratio is over this many standard deviations of the page's ratios are content.
-LEVEL = 0.5
-#: Share of the content's text that the region must hold, and share of link text that makes lines a list of links.
-REGION, LINKS = 0.9, 0.6
+#: The threshold in standard deviations of the page's ratios, and the most it can be.
+LEVEL, MOST = 0.5, 2.0
+#: Weights in powers of two: of lines that declare themselves boilerplate, and of those inside and outside the region.
+DECLARED, INSIDE, OUTSIDE = -20.0, 2.0, -10.0
+#: Share of the content's text that the region must hold: as ``article`` or ``main``, and as any other container.
+NAMED, REGION = 0.5, 0.9
+#: So many lines in a row of which each is a link for so much of its text are a list of links.
+LIST, LINKS = 3, 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video map".split())
-BOILERPLATE = frozenset("nav footer aside form button select textarea label fieldset dialog menu datalist option".split())
+SILENT = frozenset("script style noscript template svg head title iframe object canvas audio video map button select textarea label datalist option".split())
+BOILERPLATE = frozenset("nav footer aside form fieldset dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 BLOCKS = CONTAINERS | BOILERPLATE | frozenset("address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr legend li ol p pre summary table tbody tfoot th thead tr ul".split())
 #: An element of the first kind ends an open one of the second kinds.
@@ -47,37 +57,63 @@ _WORD, _RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"[a-z]+")
 _GAUSS = np.exp(-(np.arange(-REACH, REACH + 1) ** 2) / (2 * SIGMA**2))
 
 
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    tags: int
+    container: int
+    weight: float
+    block: str  # the innermost block's tag
+    form: int  # number of the form around it; -1 without one
+
+
+class _Open(NamedTuple):
+    """An element of the stack, with what held around it."""
+
+    tag: str
+    container: int
+    block: str
+    form: int
+    silent: bool
+    declared: bool
+
+
 class _Page(HTMLParser):
     """Collects lines and containers of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []  # text, characters in links, tags, container
+        self.lines: list[Line] = []
         self.parents, self.kinds = [-1], ["root"]
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container around it, whether it silences
-        self.container, self.silent, self.links, self.tags, self.linked = 0, 0, 0, 0, 0
+        self.stack: list[_Open] = []
+        self.container, self.block, self.form, self.forms = 0, "", -1, 0
+        self.silent, self.declared, self.links, self.tags, self.linked = 0, 0, 0, 0, 0
         self.parts: list[str] = []
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.linked, self.tags, self.container))
+                self.lines.append(Line(text, self.linked, self.tags, self.container, DECLARED if self.declared else 0.0, self.block, self.form))
                 self.tags = 0
             self.parts, self.linked = [], 0
 
-    def silences(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SILENT or tag in BOILERPLATE:
+    def declares(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether an element says that it's boilerplate. Words of a class or id count on blocks only: inside a block they
+        stand on words of its prose."""
+        if tag in BOILERPLATE and tag != "form":
             return True
-        if tag == "header":
-            return not self.within("article", "main")
-        if tag in ("html", "body", "main", "article", "h1"):
+        if tag == "header" and not self.within("article", "main"):
+            return True
+        if tag in ("html", "body", "main", "h1"):
             return False
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
+            if name == "role" and (value or "").lower() in ROLES:
                 return True
-            if name in ("class", "id") and value:
+            if name in ("class", "id") and value and tag in BLOCKS:
                 for part in value.split():
                     words = {w.lower() for w in _WORD.findall(part)} | set(_RUN.findall(part.lower()))
+                    if tag == "article":
+                        words = {part.lower()}
                     if words & HINTS and not words & SAYS and not (words & {"header", "banner"} and self.within("article", "main")):
                         return True
         return False
@@ -90,18 +126,22 @@ class _Page(HTMLParser):
             at = self.parents[at]
         return False
 
-    def pop(self, to: int) -> None:
+    def leave(self, to: int) -> None:
         """Closes the elements of the stack from number ``to`` on."""
-        self.flush()
-        for tag, container, silences in reversed(self.stack[to:]):
-            self.container = container
-            self.silent -= silences
-            self.links -= tag == "a"
+        for e in reversed(self.stack[to:]):
+            self.container, self.block, self.form = e.container, e.block, e.form
+            self.silent -= e.silent
+            self.declared -= e.declared
+            self.links -= e.tag == "a"
         del self.stack[to:]
 
+    def pop(self, to: int) -> None:
+        self.flush()
+        self.leave(to)
+
     def find(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> int | None:
         for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
+            tag = self.stack[i].tag
             if tag in tags:
                 return i
             if tag in stop:
@@ -120,10 +160,16 @@ class _Page(HTMLParser):
             self.pop(at)
         if tag in VOID:
             return
-        quiet = self.silences(tag, attrs)
-        self.stack.append((tag, self.container, quiet))
+        says = self.declares(tag, attrs)
+        quiet = tag in SILENT or any(n == "hidden" or n == "aria-hidden" and v == "true" for n, v in attrs) or says and tag not in BLOCKS
+        self.stack.append(_Open(tag, self.container, self.block, self.form, quiet, says))
         self.silent += quiet
+        self.declared += says
         self.links += tag == "a"
+        if tag in BLOCKS:
+            self.block = tag
+        if tag == "form":
+            self.form, self.forms = self.forms, self.forms + 1
         if tag in CONTAINERS:
             self.parents.append(self.container)
             self.kinds.append(tag)
@@ -133,15 +179,11 @@ class _Page(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        block = tag in BLOCKS
-        if (at := self.find({tag}, frozenset() if block or tag in SILENT else BLOCKS)) is not None:
-            if block or tag in SILENT:
-                self.pop(at)
-            else:  # what an inline end tag leaves open inside goes with it
-                for name, _, silences in self.stack[at:]:
-                    self.silent -= silences
-                    self.links -= name == "a"
-                del self.stack[at:]
+        ends = tag in BLOCKS or tag in SILENT
+        if (at := self.find({tag}, frozenset() if ends else BLOCKS)) is not None:
+            if tag in BLOCKS:
+                self.flush()
+            self.leave(at)  # with what an end tag leaves open inside
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash doesn't close elements that can have content
@@ -156,39 +198,76 @@ class _Page(HTMLParser):
         pass
 
 
-def ratios(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Smoothed text-to-tag ratio of each line; text in links doesn't count as text."""
-    raw = np.array([max(0, len(text) - linked) / max(1, tags) for text, linked, tags, _ in lines])
-    weight = np.convolve(np.ones(len(raw)), _GAUSS, "full")[REACH:-REACH]
-    return np.convolve(raw, _GAUSS, "full")[REACH:-REACH] / weight
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Weighed text-to-tag ratio of each line as a power of two: smoothed over its neighbours, text in links not counted."""
+    raw = np.log2([1 + max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+    total = np.convolve(np.ones(len(raw)), _GAUSS, "full")[REACH:-REACH]
+    return np.convolve(raw, _GAUSS, "full")[REACH:-REACH] / total + np.array([x.weight for x in lines])
+
+
+def over(values: np.ndarray) -> np.ndarray:
+    """Which ratios are over their threshold."""
+    return values > min(LEVEL * values.std(), MOST, values.max() - 1e-9)
 
 
-def _region(page: _Page) -> np.ndarray:
-    """Whether each container belongs to the content region."""
-    n = len(page.parents)
-    smooth = ratios(page.lines)
-    content = smooth >= min(LEVEL * smooth.std(), smooth.max())
-    own, mass = np.zeros(n), np.zeros(n)
-    for i, (text, linked, _, container) in enumerate(page.lines):
-        own[container] += max(0, len(text) - linked) if content[i] else 0
-        mass[container] += len(text)
+def _lists(lines: list[Line]) -> np.ndarray:
+    """Which lines are in a list of links."""
+    link = np.array([x.linked > LINKS * len(x.text) for x in lines])
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], link, [0]))))
+    out = np.zeros(len(lines), bool)
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        out[a:b] = b - a >= LIST
+    return out
+
+
+def _region(page: _Page, content: np.ndarray) -> np.ndarray:
+    """Whether each line belongs to the region that its content chooses."""
+    n, lines = len(page.parents), page.lines
+    own = np.zeros(n)
+    for i in np.flatnonzero(content):
+        own[lines[i].container] += len(lines[i].text)
     total = own.copy()
     for c in range(n - 1, 0, -1):
         total[page.parents[c]] += total[c]
-        mass[page.parents[c]] += mass[c]
-    named = [c for c in range(n) if page.kinds[c] in ("article", "main") and mass[c] > 0]
-    richest = np.zeros(n, np.int64)  # each container's child with most content
-    for c in range(n - 1, 0, -1):
-        if total[c] >= total[richest[page.parents[c]]] or not richest[page.parents[c]]:
-            richest[page.parents[c]] = c
-    at = max(named, key=lambda c: (total[c], -c)) if named else 0
-    while not named and richest[at] and total[richest[at]] >= max(REGION * total[at], 1):
-        at = richest[at]
-    inside = np.zeros(n, bool)
-    inside[at] = True
-    for c in range(at + 1, n):
-        inside[c] = inside[page.parents[c]]
-    return inside
+    chosen: list[int] = []
+    for kind, least in (("article", REGION), ("main", NAMED), ("article", NAMED)):
+        named = [c for c in range(n) if page.kinds[c] == kind and total[c] > 0]
+        outer = [c for c in named if not any(page.kinds[a] == kind for a in _above(page.parents, c))]
+        if not chosen and total[0] and sum(total[c] for c in outer) >= least * total[0]:
+            chosen = outer
+    direct = HEADINGS
+    if not chosen:
+        direct = BLOCKS - CONTAINERS
+        richest = np.zeros(n, np.int64)  # each container's child with most content
+        for c in range(n - 1, 0, -1):
+            if total[c] >= total[richest[page.parents[c]]] or not richest[page.parents[c]]:
+                richest[page.parents[c]] = c
+        at = 0
+        while richest[at] and total[richest[at]] >= max(REGION * total[at], 1):
+            at = richest[at]
+        chosen = [at]
+    inside, around = np.zeros(n, bool), np.zeros(n, bool)
+    inside[chosen] = True
+    for c in range(1, n):
+        inside[c] |= inside[page.parents[c]]
+    for c in chosen:
+        around[list(_above(page.parents, c))] = True
+    return np.array([inside[x.container] or around[x.container] and x.block in direct and c for x, c in zip(lines, content.tolist(), strict=True)])
+
+
+def _above(parents: list[int], at: int) -> Iterator[int]:
+    while (at := parents[at]) >= 0:
+        yield at
+
+
+def _weighed(page: _Page) -> list[Line]:
+    """The page's lines; a form that holds no more than half of the text is boilerplate, a larger one is the page's."""
+    size = np.zeros(page.forms + 1)
+    for x in page.lines:
+        size[x.form] += len(x.text)
+    lost = size <= size.sum() / 2
+    lost[-1] = False
+    return [x._replace(weight=DECLARED) if lost[x.form] else x for x in page.lines]
 
 
 def _parsed(html: str) -> _Page:
@@ -209,10 +288,13 @@ def extract(html: str | None) -> str:
     page = _parsed(html)
     if not page.lines:
         return ""
-    inside = _region(page)
-    lines = [x for x in page.lines if inside[x[3]]]
-    kept = [text for text, linked, _, _ in lines if linked <= LINKS * len(text)]
-    return "\n".join(kept or [text for text, *_ in lines])
+    page.lines = _weighed(page)
+    listed = _lists(page.lines)
+    if all(x.weight for x in page.lines):
+        return ""
+    inside = _region(page, over(ratios(page.lines)) & ~listed)
+    smooth = ratios([x._replace(weight=x.weight + (INSIDE if i else OUTSIDE)) for x, i in zip(page.lines, inside.tolist(), strict=True)])
+    return "\n".join(x.text for x, kept in zip(page.lines, (over(smooth) & ~listed).tolist(), strict=True) if kept)
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

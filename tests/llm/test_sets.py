@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -444,6 +445,36 @@ def test_main_text_of_odd_pages(page, text):
     assert html.extract(page) == text
 
 
+LONG = "Long body of the story. " * 30
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div><h1>Title</h1><p>Intro</p><div>{LONG}</div></div><div>c</div></body>", f"Title\nIntro\n{LONG.strip()}"),
+        ("<h1>Top</h1><article><h2>A</h2><p>First story.</article><article><h2>B</h2><p>Second story.</article><div>promo text</div>", "Top\nA\nFirst story.\nB\nSecond story."),
+        ('<article><p>A <span class="promotion">great promotion</span> of <b class=ad>ads</b>.</p><p><a href=x>All of it a link</a></p><p>end</article>', "A great promotion of ads.\nAll of it a link\nend"),
+        ("<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>The story of this page, a text of some length.</p><div><a>x</a></div><div><a>y</a></div><div><a>z</a></div>", "The story of this page, a text of some length."),
+        ("<form><div>The whole page stands in a form.</div><nav>menu</nav><form class=search>Search <input></form></form>", "The whole page stands in a form."),
+        ("<main><h1>Head</h1><article><p>Text of it all, quite long and good.</p></article></main>", "Head\nText of it all, quite long and good."),
+        ("<article><table>" + "<tr><td>5<td>6" * 9 + "</table><p>after</article>", "5\n6\n" * 9 + "after"),
+        ('<main><div class="comment">bad</div></main><div><p>real</p></div>', "real"),
+        ('<article><p>Hi</p><article class="comment"><p>What a reader says about it, at some length.</article></article>', "Hi"),
+    ],
+)
+def test_main_text_by_hand(page, text):
+    assert html.extract(page) == text
+
+
+def test_ratios_decide(sf, monkeypatch):
+    pages = pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()
+    bare = [p.replace("article>", "div>").replace("nav>", "div>") for p in pages]
+    before = [html.extract(p) for p in pages]
+    assert [html.extract(p) for p in bare] == before
+    monkeypatch.setattr(html, "ratios", lambda lines: np.ones(len(lines)))
+    assert all(html.extract(p) != b for p, b in zip(pages, before, strict=True))
+
+
 def test_pages_of_the_tables(spark, sf):
     import html as entities
 
