@@ -206,15 +206,16 @@ class BruteTree:
         return total
 
 
-def test_scores_against_brute_force(spark, odd):
+@pytest.mark.parametrize(("depth", "often"), [(2, 1 << 22), (2, 5), (5, 1 << 22), (5, 30)])
+def test_scores_against_brute_force(spark, depth, often):
     train = [(i, t) for i, t in enumerate(["the cat sat on the mat", "The dog sat", "the the the", "", None, "é cat\nsat"])]
     test = [*train, (10, "the cat ran"), (11, "zzz \x00 é"), (12, "the"), (12, "the"), (None, "a cat")]
     schema = "doc_id long, text string"
-    out = ctw.score(spark.createDataFrame(test, schema), spark.createDataFrame(train, schema), depth=2, rare=0.0, head=3)
+    out = ctw.score(spark.createDataFrame(test, schema), spark.createDataFrame(train, schema), depth=depth, head=3, often=often)
     got = collections.defaultdict(list)
     for r in out.collect():
         got[r.doc_id].append(r)
-    brute = BruteTree([t for _, t in train], 2)
+    brute = BruteTree([t for _, t in train], depth)
     count = collections.Counter()
     for _, t in train:
         count.update([*WORD.findall(lowered(t)), None])
@@ -231,19 +232,10 @@ def test_scores_against_brute_force(spark, odd):
 def test_scores_are_probabilities():
     codes = np.concatenate([ctw.events(*_bytes(t), 2)[1] for t in ("abcabc", "abd")])
     seen, n = np.unique(codes, return_counts=True)
-    levels = []
-    for d in range(3):
-        part, at = np.unique(seen & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
-        m = np.bincount(at, n)
-        nodes = collections.defaultdict(lambda: [0, 0])
-        for c, k in itertools.product(range(len(part)), range(8)):
-            byte = int(part[c]) & 255
-            nodes[(int(part[c]) & ~255) | (1 << k) | byte >> (8 - k)][byte >> (7 - k) & 1] += m[c]
-        keys = sorted(nodes)
-        levels.append((np.array(keys, np.uint64), *(np.array([float(nodes[k][b]) for k in keys]) for b in (0, 1))))
-    tree = ctw.Tree(levels)
+    every = ctw.levels(seen, n, 0, 2)
+    one, _, _ = ctw.Mixture(every, 0).ones()
     for context in (0, ord("a") << 8 | ord("b") << 16, ord("z") << 8):
-        p = 10 ** tree.log10(np.array([context | b for b in range(256)], np.uint64))
+        p = 10 ** ctw.log10([x[0] for x in every], one, np.array([context | b for b in range(256)], np.uint64))
         assert p.sum() == pytest.approx(1)
 
 
@@ -262,6 +254,21 @@ def test_scores_awkward(spark, odd, nothing, clashing):
     assert by_id(ctw.score(clashing, clashing), "n_tokens") == by_id(out, "n_tokens")
 
 
+def test_a_condition_is_like_its_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    learn = F.col("doc_id") % 3 != 0
+    assert by_id(ctw.score(docs, learn), "base_score", "n_known") == by_id(ctw.score(docs, docs.filter(learn)), "base_score", "n_known")
+    a, b = (dict(x.select("doc_id", "score").collect()) for x in (ctw.score(docs, learn, often=1000), ctw.score(docs, docs.filter(learn))))
+    assert all(a[i] == pytest.approx(b[i]) for i in b) and len(a) == len(b)
+
+
+def test_scores_of_the_table_against_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text[:400]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    brute = BruteTree([t for i, t in docs if i % 4], ctw.DEPTH)
+    for r in ctw.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 4 != 0, often=500).collect():
+        assert r.score == pytest.approx(brute.log10(dict(docs)[r.doc_id]), rel=1e-9)
+
+
 def test_scores_held_out(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in ctw.query(spark, sf).collect():
