@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import anonymous
+from tessera.llm.frames import anonymous, dealt_anew, keeping, place, row_hash
 from tessera.plans.lineage import cut
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
@@ -183,9 +183,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
         least = both.groupBy("_u").agg(F.min("_v").alias("_m")).select("_u", F.least("_u", "_m").alias("_m"))
-        large = both.filter("_v > _u").join(least, "_u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).distinct()
+        large = both.filter("_v > _u").join(dealt_anew(least, "_u"), "_u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).distinct()
+        large = cut(large)
         least = large.groupBy("_u").agg(F.min("_v").alias("_m"))
-        down = large.join(least, "_u").filter("_v <> _m").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
+        down = large.join(dealt_anew(least, "_u"), "_u").filter("_v <> _m").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
         edges = cut(down.unionByName(least.select("_u", F.col("_m").alias("_v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
@@ -193,6 +194,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def names(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``_fp`` and ``_name`` of all ``distinct`` rows (``_fp``, ``_least``): the least ``_least`` of each component."""
+    stars = components(edges)
+    rooted = cut(distinct.join(stars, distinct["_fp"] == stars["_u"], "left").select("_fp", "_least", F.coalesce("_v", "_fp").alias("_root")))
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("_name"))
+    return rooted.join(dealt_anew(least, "_root"), "_root").select("_fp", "_name")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``key``, ``_fp`` and ``_component`` (the smallest key reachable over links) of every row of ``docs``.
 
@@ -202,29 +211,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     """
     fp = cut(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", shingle))
     distinct = cut(fp.groupBy("_fp").agg(F.min("_key").alias("_least")))
-    stars = components(link(distinct.select("_fp"), radius))
-    rooted = distinct.join(stars, distinct["_fp"] == stars["_u"], "left").select("_fp", "_least", F.coalesce("_v", "_fp").alias("_root"))
-    names = rooted.groupBy("_root").agg(F.min("_least").alias("_component"))
-    of = rooted.join(names, "_root").select("_fp", "_component")
-    return fp.join(of, "_fp").select(F.col("_key").alias(key), "_fp", "_component")
+    of = names(distinct, link(distinct.select("_fp"), radius)).withColumnRenamed("_name", "_component")
+    return fp.join(dealt_anew(of, "_fp"), "_fp").select(F.col("_key").alias(key), "_fp", "_component")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest key, all columns as they were.
+    """``docs`` with one row of each group of near duplicates, all columns as they were: that of the smallest key (null
+    keys last), of several with it that of the smallest hash of all columns.
 
-    A row is known by its key and text: rows that repeat both are one document, of which one stays, and rows that share a
-    key only are told apart. A row with a null key is kept as it is.
+    Texts without words, null ones too, are duplicates of each other. Rows that repeat all columns are one, and rows that
+    share a key only are told apart.
     """
     plain, of, back = anonymous(docs)
     key, text = of[key], of[text]
-    named = plain.filter(F.col(key).isNotNull()).withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
-    fp = fingerprints(named.select(F.col(key).alias("_key"), "_id", F.col(text).alias("_text")), "_text", shingle)
-    distinct = cut(fp.groupBy("_fp").agg(F.min(F.struct("_key", "_id")).alias("_least")))
-    stars = components(link(distinct.select("_fp"), radius))
-    rooted = distinct.join(stars, distinct["_fp"] == stars["_u"], "left").select("_least", F.coalesce("_v", "_fp").alias("_root"))
-    stay = rooted.groupBy("_root").agg(F.min("_least").alias("_least")).select(F.col("_least._id").alias("_stay"))
-    kept = named.join(stay, named["_id"] == stay["_stay"], "left_semi").dropDuplicates(["_id"]).drop("_id")
-    return back(kept.unionByName(plain.filter(F.col(key).isNull())))
+    named = plain.withColumns({"_key": F.col(key), "_id": row_hash(plain)})
+    rows = cut(fingerprints(named.select("_key", "_id", F.col(text).alias("_text")), "_text", shingle))
+    distinct = cut(rows.groupBy("_fp").agg(F.min(place()).alias("_least")))
+    stay = names(distinct, link(distinct.select("_fp"), radius)).withColumnRenamed("_name", "_stay")
+    return back(keeping(named, rows, stay))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

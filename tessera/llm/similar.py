@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import anonymous
-from tessera.llm.simhash import components
+from tessera.llm.frames import anonymous, if_few, keeping, place, row_hash, same_row
+from tessera.llm.simhash import names
 from tessera.plans.lineage import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -105,8 +105,8 @@ def _forests(similarity: float):
 
 
 def link(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """Edges ``(_u, _v)``, _u > _v, that join near copies among ``nodes`` (``_fp``, ``_id`` of a row of ``docs`` with these
-    words, ``_keys``) into the right components. ``docs`` has ``_id`` and ``_text``."""
+    """Edges ``(_u, _v)``, _u > _v, that join near copies among ``nodes`` (``_fp``, ``_key`` and ``_id`` of a row of ``docs``
+    with these words, ``_keys``) into the right components. ``docs`` has ``_key``, ``_id`` and ``_text``."""
     rows = nodes.select("_fp", F.explode("_keys").alias("_k"))
     crowded = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1")
     met = cut(rows.join(crowded, "_k").select("_k", "_fp", F.ceil(F.col("_n") / block).cast("int").alias("_g")))
@@ -116,9 +116,9 @@ def link(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shin
             h, row_start, _ = _shingles(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(row_start[:-1], row_start[1:], strict=True)], pa.binary())], names=["_fp", "_set"])
 
-    wanted = nodes.join(met.select("_fp").distinct(), "_fp", "left_semi").select("_fp", "_id")
-    texts = docs.join(wanted, "_id").select("_fp", "_text").dropDuplicates(["_fp"])
-    sets = texts.mapInArrow(take, "_fp long, _set binary")
+    wanted = if_few(cut(nodes.join(met.select("_fp").distinct(), "_fp", "left_semi").select("_fp", "_key", "_id")))
+    texts = docs.join(wanted, same_row(docs, wanted)).select("_fp", "_text")
+    sets = texts.mapInArrow(take, "_fp long, _set binary").dropDuplicates(["_fp"])
     own = F.pmod(F.xxhash64("_fp"), F.col("_g")).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda o: F.least(o, own) * F.col("_g") + F.greatest(o, own))
     units = met.join(sets, "_fp").select("_k", F.explode(other).alias("_p"), "_fp", "_set")
@@ -127,16 +127,17 @@ def link(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shin
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group of near copies, that of the smallest key, all columns as they were.
+    """``docs`` with one row of each group of near copies, all columns as they were: that of the smallest key (null keys
+    last), of several with it that of the smallest hash of all columns.
 
-    Groups are connected by pairs of ``similarity`` or more. Texts without words are copies of each other. A row is known
-    by its key and text; rows that repeat both are one document. A row with a null key is kept as it is.
+    Groups are connected by pairs of ``similarity`` or more. Texts without words, null ones too, are copies of each other.
+    Rows that repeat all columns are one, and rows that share a key only are told apart.
     """
     K.bound_batches(docs.sparkSession)
     plain, of, back = anonymous(docs)
     key, text = of[key], of[text]
-    named = plain.filter(F.col(key).isNotNull()).withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
-    picked = named.select(F.col(key).alias("_key"), "_id", F.col(text).alias("_text"))
+    named = plain.withColumns({"_key": F.col(key), "_id": row_hash(plain)})
+    picked = named.select("_key", "_id", F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.batches_of(batches, "_text"):
@@ -146,10 +147,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.view(np.int64)), lists], names=["_key", "_id", "_fp", "_keys"])
 
-    hashed = picked.mapInArrow(K.lean(run), picked.select("_key", "_id").schema.add("_fp", "long").add("_keys", ArrayType(LongType())))
-    nodes = cut(hashed.groupBy("_fp").agg(F.min(F.struct("_key", "_id")).alias("_least"), F.first("_keys").alias("_keys")))
-    stars = components(link(picked.select("_id", "_text"), nodes.select("_fp", F.col("_least._id").alias("_id"), "_keys"), similarity, shingle))
-    rooted = nodes.join(stars, nodes["_fp"] == stars["_u"], "left").select("_least", F.coalesce("_v", "_fp").alias("_root"))
-    stay = rooted.groupBy("_root").agg(F.min("_least").alias("_least")).select(F.col("_least._id").alias("_stay"))
-    kept = named.join(stay, named["_id"] == stay["_stay"], "left_semi").dropDuplicates(["_id"]).drop("_id")
-    return back(kept.unionByName(plain.filter(F.col(key).isNull())))
+    hashed = cut(picked.mapInArrow(K.lean(run), picked.select("_key", "_id").schema.add("_fp", "long").add("_keys", ArrayType(LongType()))))
+    nodes = cut(hashed.groupBy("_fp").agg(F.min(place()).alias("_least"), F.first("_keys").alias("_keys")))
+    edges = link(picked, nodes.select("_fp", F.col("_least.k").alias("_key"), F.col("_least.i").alias("_id"), "_keys"), similarity, shingle)
+    stay = names(nodes.select("_fp", "_least"), edges).withColumnRenamed("_name", "_stay")
+    return back(keeping(named, hashed.select("_key", "_id", "_fp"), stay))
