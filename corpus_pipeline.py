@@ -19,7 +19,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: by fingerprints, then by five-word shingles that agree in 80 %."""
-    return similar.dedup(cut(simhash.dedup(docs)))
+    return similar.dedup(simhash.dedup(docs))
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
