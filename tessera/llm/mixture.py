@@ -10,7 +10,9 @@ block, beginning again after the last. Slots beyond a source's target are left o
 at the end, and the last one takes only as many tokens as the target still lacks.
 
 Nothing is gathered by source: running sums go over hash buckets of a source, and joins are by (source, bucket) or
-(source, block), of which even a source with most of all rows has many.
+(source, block), of which even a source with most of all rows has many. Rows that repeat a key and text are counted
+before anything else and placed as runs of at most ``RUN`` copies, so that they spread like other rows; what a run is
+taken is shared out among its copies.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import anonymous
+from tessera.llm.frames import anonymous, if_few
 from tessera.plans.lineage import cut
 
 WEIGHTS = (1, 2, 3)
@@ -31,6 +33,7 @@ BUCKET_DOCS, BUCKET_BITS = 512, 20
 #: i * STEP mod 2**31 walks the points i * (golden ratio) mod 1 in whole numbers.
 POINTS, STEP = 1 << 31, 1327217885
 CELLS = 1 << 12
+RUN = 64
 SLOT_CHUNK = 1 << 14
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -42,10 +45,14 @@ def tokens(text: str = "text") -> Column:
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Narrow rows: key, source as a non-null name and a flag, size, shuffle hash."""
+    """Narrow rows, one for each run of copies: key, source as a non-null name and a flag, hash of the text, size of one
+    copy, copies (``_n``), size of all, shuffle hash."""
     name, none = F.coalesce(F.col(source), F.lit("")), F.col(source).isNull()
-    picked = docs.select(F.col(key).alias("_key"), name.alias("_s"), none.alias("_z"), tokens(text).alias("_size"), F.xxhash64(F.col(key), F.col(text)).alias("_text"))
-    return picked.withColumn("_h", F.xxhash64("_key", "_text", F.lit("mix")))
+    picked = docs.select(F.col(key).alias("_key"), name.alias("_s"), none.alias("_z"), tokens(text).alias("_one"), F.xxhash64(F.col(key), F.col(text)).alias("_text"))
+    copies = picked.groupBy("_key", "_s", "_z", "_text", "_one").agg(F.count("*").alias("_all"))
+    runs = copies.withColumn("_run", F.explode(F.sequence(F.lit(0), F.expr(f"(_all - 1) div {RUN}"))))
+    runs = runs.withColumn("_n", F.least(F.lit(RUN), F.col("_all") - F.col("_run") * RUN)).withColumn("_size", F.col("_n") * F.col("_one"))
+    return runs.select("_key", "_s", "_z", "_text", "_one", "_n", "_size", F.xxhash64("_key", "_text", "_run", F.lit("mix")).alias("_h"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -121,7 +128,8 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     ``_target, _taken``.
 
     Null texts have no words and are taken 0 times; null sources are one source, the last. The order of documents within
-    a source is that of a hash of key and text, so reruns agree however rows are dealt.
+    a source is that of a hash of key and text, so reruns agree however rows are dealt. Rows that repeat key, text and
+    source are taken alike, to a word.
     """
     sized = cut(_sized(docs, key, text, source))
     sources = cut(targets(sized, weights, epochs))
@@ -134,9 +142,9 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     ahead = Window.partitionBy("_s", "_z").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
     starts = starts.join(F.broadcast(sources) if small(sources) else sources, ["_s", "_z"])
-    inside = Window.partitionBy("_s", "_z", "_bucket").orderBy("_h", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_s", "_z", "_bucket").orderBy("_h", "_key", "_one").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.join(starts, ["_s", "_z", "_bucket"]).withColumn("_first", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    placed = cut(placed.select("_key", "_s", "_z", "_text", "_size", "_total", "_target", "_first"))
+    placed = cut(placed.select("_key", "_s", "_z", "_text", "_one", "_n", "_size", "_total", "_target", "_first"))
     uses = schedule(planned, block).groupBy("_s", "_z", "_block").agg(F.sum((F.col("_take") == F.col("_len")).cast("long")).alias("_whole"), F.sum(F.when(F.col("_take") < F.col("_len"), F.col("_take"))).alias("_part"))
     full = placed.filter("_size > 0")
     pieces = full.withColumn("_block", F.explode(F.expr(f"sequence(_first div {block}, (_first + _size - 1) div {block})")))
@@ -144,23 +152,26 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     part = F.greatest(F.lit(0), F.least(F.col("_hi"), F.col("_block") * block + F.coalesce("_part", F.lit(0))) - F.col("_lo"))
     worth = F.coalesce(F.col("_whole"), F.lit(0)) * (F.col("_hi") - F.col("_lo")) + part
     joined = pieces.join(uses, ["_s", "_z", "_block"], "left").withColumn("_taken", worth)
-    columns = ["_key", "_s", "_z", "_text", "_size", "_total", "_target"]
+    columns = ["_key", "_s", "_z", "_text", "_one", "_n", "_total", "_target"]
     some = joined.groupBy("_first", *columns).agg(F.sum("_taken").alias("_taken")).select(*columns, "_taken")
-    return some.unionByName(placed.filter("_size = 0").select(*columns, F.lit(0).cast("long").alias("_taken")))
+    runs = some.unionByName(placed.filter("_size = 0").select(*columns, F.lit(0).cast("long").alias("_taken")))
+    each = runs.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_taken", F.expr("_taken div _n + CASE WHEN _copy <= _taken % _n THEN 1 ELSE 0 END"))
+    return each.select("_key", "_s", "_z", "_text", F.col("_one").alias("_size"), "_total", "_target", "_taken")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` as the mix has them, all columns as they were: each row as often as its text is taken, to the nearest
-    whole number; texts without words once."""
+    whole number; texts without words once. Rows that repeat key, text and source go in the same number each."""
     found = taken(docs, key, text, source, **how)
     plain, of, back = anonymous(docs)
     key, text, source = of[key], of[text], of[source]
     mean = found.groupBy(*_same).agg(F.avg("_taken").alias("_mean"))
     whole = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_mean") / F.col("_size") + 0.5))
-    times = mean.select(*_same, whole.cast("int").alias("_times")).filter("_times > 0")
+    times = if_few(cut(mean.select("_key", "_s", "_z", "_text", whole.cast("int").alias("_times")).filter("_times > 0")))
     name, none = F.coalesce(F.col(source), F.lit("")), F.col(source).isNull()
-    keyed = plain.withColumns({"_s": name, "_z": none, "_text": F.xxhash64(F.col(key), F.col(text))})
-    met = keyed.join(times.drop("_key", "_size"), ["_s", "_z", "_text"])
+    keyed = plain.withColumns({"_key": F.col(key), "_s": name, "_z": none, "_text": F.xxhash64(F.col(key), F.col(text))})
+    same = [keyed[c] == times[c] for c in ("_s", "_z", "_text")] + [keyed["_key"].eqNullSafe(times["_key"])]
+    met = keyed.join(times, same)
     return back(met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))))
 
 
