@@ -1,9 +1,8 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
 Lines are hashed, and a rolling hash over ``WINDOW`` neighbouring line hashes decides after which lines a chunk ends: a
-boundary depends on the lines around it alone, so a passage is cut alike wherever it stands and whatever precedes it.
-Chunks have ``LEAST`` lines at least (but the rest of a text may be shorter) and ``MOST`` at most. A chunk of several
-lines that occurs in more than one place stays where it comes first, by key and then by line, and goes elsewhere, after
+boundary depends on these lines alone, so a passage is cut alike wherever it stands and whatever precedes it. Only where
+none falls among ``MOST`` lines is a chunk cut by their number. A chunk of several lines that occurs in more than one place stays where it comes first, by key and then by line, and goes elsewhere, after
 its bytes were compared with those of the place that stays.
 
 A passage between differing neighbours shares its edges' chunks with them, and a short one holds no chunk of its own. So
@@ -26,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import anonymous
+from tessera.llm.frames import FEW, anonymous, beside, same_row
 from tessera.plans.lineage import cut
 
-WINDOW, LEAST, MOST = 2, 2, 64
-#: One line in so many is a candidate for a boundary.
-EVERY = 2
+WINDOW, MOST = 2, 64
+#: One line in so many ends a chunk.
+EVERY = 4
 #: A line of more words is a passage by itself.
 LONG = 50
 _TABLE_BITS = 25
@@ -75,7 +74,7 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
             while c - at > MOST:
                 begins.append(at)
                 at += MOST
-            if c - at >= LEAST or c == b and c > at:
+            if c > at:
                 begins.append(at)
                 at = c
     begin = np.array(begins, np.int64)
@@ -119,7 +118,7 @@ def _listed(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """``_key, _id`` (hash of key and text), ``_first, _lines``: the units to remove."""
     spark = docs.sparkSession
     K.bound_batches(spark)
@@ -154,22 +153,25 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bo
     return met.filter("NOT _stays").join(stays, "_hash").filter("_bytes = _kept").select("_key", "_id", "_first", "_lines")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``_lines`` and ``_removed`` (lines before; taken out).
 
     Null texts stay null and have no lines; an empty one has one, and texts without repeats stay byte for byte. A text
-    that loses all lines becomes empty. Input columns named as the added ones are replaced. Rows that repeat a key and text are one document: they lose the same chunks.
-    ``whole`` takes out repeated passages up to their edges, not only the chunks that lie in them.
+    that loses all lines becomes empty. Rows that repeat a key and text are one document: they lose the same lines. Of
+    places of one key the first line stays, null keys come last. Input columns of the added names go on with an underscore
+    more. ``whole`` takes out repeated passages up to their edges, not only the chunks that lie in them.
     """
-    lost = repeated(docs, key, text, whole).select("_id", F.explode(F.sequence("_first", F.col("_first") + F.col("_lines") - 1)).alias("_line")).distinct()
-    runs = lost.withColumn("_run", F.col("_line") - F.row_number().over(Window.partitionBy("_id").orderBy("_line")))
-    runs = runs.groupBy("_id", "_run").agg(F.min("_line").alias("_first"), F.count("*").cast("int").alias("_lines"))
-    gone = runs.groupBy("_id").agg(F.collect_list(F.struct("_first", "_lines")).alias("_gone"))
-    docs = docs.drop("_lines", "_removed")
+    lost = repeated(docs, key, text, whole).select("_key", "_id", F.explode(F.sequence("_first", F.col("_first") + F.col("_lines") - 1)).alias("_line")).distinct()
+    runs = lost.withColumn("_run", F.col("_line") - F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_line")))
+    runs = runs.groupBy("_key", "_id", "_run").agg(F.min("_line").alias("_first"), F.count("*").cast("int").alias("_lines"))
+    gone = cut(runs.groupBy("_key", "_id").agg(F.collect_list(F.struct("_first", "_lines")).alias("_gone")))
+    if (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= FEW:
+        gone = F.broadcast(gone)
+    docs = beside(docs, "_lines", "_removed")
     plain, of, _ = anonymous(docs)
     key, text = of[key], of[text]
-    keyed = plain.withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
-    joined = keyed.join(gone, "_id", "left")
+    keyed = plain.withColumns({"_key": F.col(key), "_id": F.xxhash64(F.col(key), F.col(text))})
+    joined = keyed.join(gone, same_row(keyed, gone), "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (i >= g["_first"]) & (i < g["_first"] + g["_lines"])))
     removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda n, g: n + g["_lines"]), F.lit(0)).cast("long")
