@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
+from tessera.llm.frames import beside
 
 SIGMA, REACH = 1.0, 3
 #: The threshold in standard deviations of the page's ratios, and the most it can be.
@@ -298,9 +299,9 @@ def extract(html: str | None) -> str:
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` without the markup and with ``_main``, the main text. Null and empty pages have an empty one. An input
-    column of that name is replaced."""
-    pages = pages.drop("_main")
+    """``pages`` without the markup and with ``_main``, the main text. Null and empty pages, and those without text, have
+    an empty one; rows that repeat have the same. An input column of that name goes on with an underscore more."""
+    pages = beside(pages, "_main")
     keep = [c for c in pages.columns if c != html]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.split import held_out, smallest
+from tessera.llm.frames import beside
+from tessera.llm.split import df_of, held_out, sampled, smallest
 
 #: Labelled documents that learning reads at most.
 SAMPLE = 12_000
+#: Languages that are learned at most.
+LANGUAGES = 64
 #: Up to this many languages the code has all splits of the languages in two; beyond, random ones.
 EXHAUSTIVE = 6
 UNKNOWN = "und"
@@ -128,19 +131,22 @@ def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
     return float(a[0]), float(a[1])
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
     """A model from the labelled documents of all folds but one; None if there are none.
 
-    Rows with a null label, or without a letter in the text, teach nothing.
+    Rows with a null label, or without a letter in the text, teach nothing. Rows that repeat a key, label and text count
+    once; a text with several labels counts for each. At most ``sample`` rows are read, and of their labels the
+    ``languages`` most frequent are learned, which bounds the counters that a task holds.
     """
     spark = docs.sparkSession
     K.bound_batches(spark)
     marked = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     marked = marked.filter(~held_out(F.col("_key"), folds) & F.col("_lang").isNotNull())
-    chosen = smallest(marked.select("_key", "_lang").dropna().distinct(), "_key", sample)
-    chosen = spark.createDataFrame(chosen.toArrow(), chosen.schema)  # at most ``sample`` pairs
-    texts = marked.join(F.broadcast(chosen), ["_key", "_lang"]).filter(F.col("_text").rlike(r"\p{L}"))
-    languages = sorted(r[0] for r in texts.select("_lang").distinct().collect())
+    chosen = df_of(smallest(marked.select("_key", "_lang").dropna().distinct(), "_key", sample))  # at most ``sample`` pairs
+    texts = sampled(marked, chosen, sample).drop("_t").filter(F.col("_text").rlike(r"\p{L}"))
+    seen_most = texts.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(languages).collect()
+    languages = sorted(r[0] for r in seen_most)
+    texts = texts.filter(F.col("_lang").isin(languages))
     if not languages:
         return None
     number = {x: i for i, x in enumerate(languages)}
@@ -200,8 +206,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` without its text and with ``_lang``, ``_score`` (the winner's probability), ``_runner_up`` and
-    ``_ambiguous``. Null texts and texts without a letter are ``und`` with score 0, as all are without a model. Input columns of these names are replaced."""
-    docs = docs.drop("_lang", "_score", "_runner_up", "_ambiguous")
+    ``_ambiguous``. Null and empty texts and texts without a letter are ``und`` with score 0, as all are without a model.
+    Of languages that are equally likely the first by name wins. Input columns of the added names go on with an underscore
+    more."""
+    docs = beside(docs, "_lang", "_score", "_runner_up", "_ambiguous")
     keep = [c for c in docs.columns if c != text]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

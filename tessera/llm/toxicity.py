@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import anonymous
-from tessera.llm.split import held_out, smallest
+from tessera.llm.frames import anonymous, beside
+from tessera.llm.split import df_of, held_out, sampled, smallest
+from tessera.plans.lineage import cut
 
 #: Labelled documents that learning reads at most.
 SAMPLE = 24_000
@@ -129,15 +130,17 @@ def _fit(bag: np.ndarray, entry: np.ndarray, feature: np.ndarray, label: np.ndar
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents of all folds but one.
 
-    Rows whose label or key is null don't count; a document with several labels counts by its largest. Without any
-    labelled documents the model has no evidence and a leak of one half.
+    Rows whose label or key is null don't count; a document with several labels counts by its largest. Rows that repeat a
+    key and text are one document. At most ``sample`` of them are read. Without any labelled documents the model has no
+    evidence and a leak of one half.
     """
     spark = docs.sparkSession
     K.bound_batches(spark)
     marked = labels.select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_label")).dropna()
     marked = marked.filter(~held_out(F.col("_key"), folds)).groupBy("_key").agg(F.max("_label").alias("_label"))
-    chosen = spark.createDataFrame(smallest(marked, "_key", sample).toArrow(), marked.schema)  # at most ``sample`` pairs
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    chosen = df_of(smallest(marked, "_key", sample))  # at most ``sample`` pairs
+    texts = sampled(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), chosen.select("_key"), sample).join(F.broadcast(chosen), "_key")
+    texts = cut(texts.select("_text", "_label", F.xxhash64("_key", "_t").alias("_bag")))
     counted = texts.select("_text", "_label").mapInArrow(_document_frequencies, "_slot int, _no int, _yes int")
     counted = counted.groupBy("_slot").agg(F.sum("_no").alias("_no"), F.sum("_yes").alias("_yes")).filter("_no + _yes >= 3").toPandas()
     totals = {r["_label"]: r["n"] for r in texts.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -157,12 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in K.batches_of(batches, "_text"):
             f = _evidence(batch.column(0), wanted)
             row = f.row[f.entry]
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), pa.array(f.sentence[f.entry]), pa.array(f.slot)], names=["_key", "_sentence", "_slot"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(f.sentence[f.entry]), pa.array(f.slot)], names=["_bag", "_label", "_sentence", "_slot"])
 
-    key_type = texts.schema["_key"].dataType.simpleString()
-    pairs = texts.select("_text", "_label", "_key").mapInArrow(bags, f"_key {key_type}, _sentence long, _slot long").distinct()
-    pairs = pairs.join(F.broadcast(chosen), "_key").toPandas().sort_values(["_key", "_sentence", "_slot"])
-    documents, doc = np.unique(pairs["_key"].to_numpy(), return_inverse=True)
+    pairs = texts.select("_text", "_label", "_bag").mapInArrow(bags, "_bag long, _label int, _sentence long, _slot long").distinct()
+    pairs = pairs.toPandas().sort_values(["_bag", "_sentence", "_slot"])
+    documents, doc = np.unique(pairs["_bag"].to_numpy(), return_inverse=True)
     change = np.ones(len(pairs), bool)
     change[1:] = (doc[1:] != doc[:-1]) | (pairs["_sentence"].to_numpy()[1:] != pairs["_sentence"].to_numpy()[:-1])
     bag = doc[change]
@@ -189,9 +191,9 @@ def _apply(model, spark):
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without its text and with ``_score`` (0 to 1), ``_sentence`` (the number of the most offending
-    sentence, from 0; null if none has evidence) and ``_sentence_score``. Null and empty texts score the leak. Input
-    columns of these names are replaced."""
-    docs = docs.drop("_score", "_sentence", "_sentence_score")
+    sentence, from 0, the earliest of several; null if none has evidence) and ``_sentence_score``. Null and empty texts
+    score the leak. Input columns of the added names go on with an underscore more."""
+    docs = beside(docs, "_score", "_sentence", "_sentence_score")
     keep = [c for c in docs.columns if c != text]
     found = _apply(model, docs.sparkSession)
 

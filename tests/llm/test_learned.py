@@ -131,6 +131,12 @@ def test_toxicity_is_noisy_or_of_sentences(spark):
     assert [(r.doc_id, r.sentence, r.text) for r in found] == [(0, 0, "You IDIOT, you clown."), (0, 3, "A clown")]  # every stop ends a sentence, the line end too
 
 
+def test_repeated_rows_teach_no_more(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    once, thrice = toxicity.train(docs, labels), toxicity.train(docs.unionAll(docs).unionAll(docs), labels)
+    assert (once.bias, once.leak) == (thrice.bias, thrice.leak) and np.array_equal(once.weight, thrice.weight, equal_nan=True)
+
+
 def test_toxicity_awkward(spark, odd, nothing, clashing, labels):
     model = toxicity.train(odd, labels)
     assert toxicity.score(nothing, model).count() == 0

@@ -220,6 +220,34 @@ def test_every_stretch_at_the_bound_is_found(n):
     assert all(found == [(7, n)] for found in block.found(pa.array(texts)))
 
 
+def test_repeated_tokens_name_every_alignment(spark):
+    rng = random.Random(5)
+    own = [" ".join(rng.choices("ab", k=40)), "a " * 30 + "b", "x y " * 12, " ".join(f"t{i}" for i in range(20))]
+    texts = [" ".join(rng.choices("abxy", [9, 2, 1, 1], k=rng.randint(0, 90))) for _ in range(20)] + ["a " * 300, "y x " * 40, own[3]]
+    block = decontaminate.Block([0, 1, 2, 3], pa.array(own))
+    tokens, start = decontaminate._tokens(pa.array(texts))
+    want = set()
+    for (row, t), (item, o) in itertools.product(enumerate(texts), enumerate(own)):
+        t, o = t.split(), o.split()
+        for mask in decontaminate.MASKS:
+            at = [i for i, c in enumerate(mask) if c == "1"]
+            for i, j in itertools.product(range(len(t) - len(mask) + 1), range(len(o) - len(mask) + 1)):
+                if all(t[i + k] == o[j + k] for k in at):
+                    want.add((row, item, start[row] + i - block.row_start[item] - j))
+    assert {tuple(x) for x in block.hits(tokens, start).tolist()} == want
+    whole = decontaminate.Block([0], pa.array(["same " * 300])).found(pa.array(["same " * 100_000]))
+    assert whole == [[(0, 300)]]
+
+
+def test_items_of_any_type_in_blocks(spark, clashing):
+    docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(variants())] * 2, "doc_id long, text string").withColumn("_items", F.lit("own"))
+    benchmark = spark.createDataFrame([("p", PASSAGE), ("q", PASSAGE), ("short", "Tiny but whole item here"), (None, PASSAGE)], "item_id string, text string")
+    one, many = (decontaminate.scan(docs, benchmark, most=m) for m in (decontaminate.BLOCK_BYTES, 40))
+    assert one.columns == many.columns == ["doc_id", "text", "_items_", "_items", "_overlap"]
+    assert rows(one, "doc_id", "_items", "_overlap", "_items_") == rows(many, "doc_id", "_items", "_overlap", "_items_")
+    assert one.filter("size(_items) = 2").count() and one.count() == docs.count()
+
+
 def test_decontamination_of_the_tables(spark, sf):
     items = [" ".join(re.findall(r"[^\W_]+", r.text.lower())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     texts = {r.doc_id: " ".join(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -262,7 +290,7 @@ def test_line_chunks_against_brute_force(spark, sf):
     texts = {i: "\n".join([*rng.choices(lines, k=rng.randint(0, 8)), *(passage if i % 3 == 0 else []), *rng.choices(lines, k=rng.randint(0, 8))]) for i in range(200)}
     texts |= {r.doc_id + 1000: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text is not None}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linechunks.without_repeats(docs).collect()}
+    got = {r.doc_id: r.text for r in linechunks.without_repeats(docs, whole=False).collect()}
     assert got == brute_chunks(texts)
     assert sum(got[i].count("shared") for i in range(200)) < 0.5 * sum(t.count("shared") for i, t in texts.items() if i < 200)
 
@@ -297,6 +325,18 @@ def test_chunks_hold_all_lines():
         assert first[at].tolist() == [0, *np.cumsum(n[at])[:-1].tolist()]
 
 
+def test_chunks_of_a_passage_are_the_same_anywhere():
+    rng = random.Random(3)
+    passage = [f"line {rng.random()}" for _ in range(200)]
+    inner = []
+    for before in range(40):
+        t = "\n".join([f"other {rng.random()}" for _ in range(before)] + passage)
+        _, first, n, *_ = linechunks.chunks(pa.array([t]))
+        inner.append({(f - before, k) for f, k in zip(first.tolist(), n.tolist(), strict=True) if f > before + 1})
+    common = set.intersection(*inner)
+    assert sum(n for _, n in common) > 180 and all(i - common <= {min(i)} for i in inner)
+
+
 def test_line_chunks_awkward(spark, odd, nothing, clashing):
     out = linechunks.without_repeats(odd)
     assert out.count() == odd.count()
