@@ -120,13 +120,11 @@ class Journal:
     def get(self, *key: Any) -> Row | None:
         return next(iter(self.df().filter(self._is(key)).take(1)), None)
 
-    def _changed(self, condition: Column, work: Callable[[Change, DataFrame, Column], None]) -> int:
+    def _changed(self, condition: Column, work: Callable[[Change], None]) -> int:
         def change(c: Change) -> int:
-            df = c.read(self.name)
-            hit = F.coalesce(condition, F.lit(False))
-            n = df.filter(hit).count()
+            n = c.read(self.name).filter(condition).count()
             if n:
-                work(c, df, hit)
+                work(c)
             return n
 
         return self.store.change(change)
@@ -134,17 +132,14 @@ class Journal:
     def update(self, key: tuple, values: dict[str, Any]) -> bool:
         if set(values) & set(self.key):
             raise StoreError("keys don't change")
-
-        def work(c: Change, df: DataFrame, hit: Column) -> None:
-            c.replace(self.name, df.withColumns({n: F.when(hit, F.lit(v)).otherwise(F.col(n)).cast(df.schema[n].dataType) for n, v in values.items()}))
-
-        return self._changed(self._is(key), work) > 0
+        hit = self._is(key)
+        return self._changed(hit, lambda c: c.update_where(self.name, hit, values)) > 0
 
     def delete(self, *key: Any) -> bool:
         return self.delete_where(self._is(key)) > 0
 
     def delete_where(self, condition: Column) -> int:
-        return self._changed(condition, lambda c, df, hit: c.replace(self.name, df.filter(~hit)))
+        return self._changed(condition, lambda c: c.delete_where(self.name, condition))
 
     def count(self) -> int:
         return self.df().count()

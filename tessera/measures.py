@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from tessera.operators.joins import converted
 from tessera.operators.ordering import declared
 from tessera.schema import columns
-from tessera.store import Change, Store, StoreError
+from tessera.store import Change, FileSystem, Store, StoreError
 
 LEDGER, WATERMARK, PRUNED = "measure_refresh", "measure_watermark", "measure_pruned"
 FULL, INCREMENT, REMOVE = "full", "increment", "remove"
@@ -190,8 +191,8 @@ class MeasureTable:
         rows, records = as_rows(self.measure, values, self.spark)
 
         def work(c: Change) -> None:
-            kept = c.read(self.values_table).join(records, "record_id", "left_anti")
-            c.replace(self.values_table, kept.select(*self.measure.value_schema.names).unionByName(self._stamped(rows, part, by, at)))
+            c.delete_keys(self.values_table, records)
+            c.append(self.values_table, self._stamped(rows, part, by, at).select(*self.measure.value_schema.names))
 
         self.store.change(work)
 
@@ -201,7 +202,7 @@ class MeasureTable:
         keys = ["record_id", *self.measure.names]
 
         def work(c: Change) -> int:
-            last = c.read(self.values_table).groupBy(*keys).agg(F.max_by("value", "written_at").alias("value"))
+            last = c.read(self.values_table).groupBy(*keys).agg(F.max_by("value", F.struct("written_at", "part", "value")).alias("value"))
             on = [rows[k].eqNullSafe(last[k]) for k in keys] + [rows["value"] == last["value"]]
             new = rows.join(last, on, "left_anti")
             n = new.count()
@@ -244,9 +245,14 @@ class MeasureTable:
         rows.repartitionByRange(*self.measure.names).sortWithinPartitions(*self.measure.names, "record_id").write.option("compression", "zstd").mode("overwrite").parquet(folder)
         notes = json.dumps({"measure": self.measure.name, "fields": self.measure.names, "part": part})
         self.spark.createDataFrame([(notes,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}_notes")
-        self.store.change(lambda c: c.delete_where(self.values_table, f"part = '{part}'"))
+        self.store.change(lambda c: c.delete_keys(self.values_table, self.spark.createDataFrame([(part,)], "part string")))
         return n
 
+    def archive_notes(self, *locations: str) -> DataFrame:
+        """What was noted beside archives: measure, part, fields."""
+        lines = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").text([f"{x.rstrip('/')}/measure={self.measure.name}/*_notes" for x in locations])
+        return lines.select(F.from_json("value", "measure string, part string, fields array<string>").alias("n")).select("n.*")
+
     def archive_when_larger_than(self, location: str, most_bytes: int) -> list[str]:
         """Archives parts, those with the oldest writes first and never the last one, until the table is small enough."""
         gone = []
@@ -271,8 +277,8 @@ class MeasureTable:
         rows = self.archived(*locations)
 
         def work(c: Change) -> int:
-            old = c.read(self.values_table).join(rows.select("part").distinct(), "part", "left_anti")
-            c.replace(self.values_table, old.select(*self.measure.value_schema.names).unionByName(rows))
+            c.delete_keys(self.values_table, rows.select("part").distinct())
+            c.append(self.values_table, rows)
             return rows.count()
 
         return self.store.change(work)
@@ -330,7 +336,8 @@ class MeasureQuery:
         return replace(self, conversion=(unit, rates, from_column, to_column, factor))
 
     def latest_per_key(self) -> MeasureQuery:
-        """Of several values of a record's key only the last written counts."""
+        """Of several values of a record's key only the last written counts; of those written at once that of the last
+        part by name, then the largest."""
         return replace(self, latest=True)
 
     def as_of(self, moment: dt.datetime, history: MeasureHistory | None = None) -> MeasureQuery:
@@ -365,7 +372,7 @@ class MeasureQuery:
             df = df.filter(F.col("written_by").isin(*self.of_writers) if self.of_writers else F.lit(False))
         if self.latest:
             keys = ["record_id", *self.table.measure.names]
-            df = df.groupBy(*keys).agg(F.max_by("value", "written_at").alias("value"))
+            df = df.groupBy(*keys).agg(F.max_by("value", F.struct("written_at", "part", "value")).alias("value"))
         return df
 
     def _check_units(self) -> None:
@@ -481,9 +488,13 @@ class MeasureRefresh:
                 both = new.withColumnRenamed("value", "_new").join(old, on, "full")
                 changes = both.select(*[F.coalesce(new[k], old[k]).alias(k) for k in keys], (F.coalesce("_new", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("value")).filter("value <> 0")
             c.append(table.contributions_table, changes.withColumns({"refresh_id": F.lit(self.id), "writer": F.lit(self.writer)}))
-            kept = values.limit(0) if kind == FULL else values.join(touched, "record_id", "left_anti")
             stamped = new.withColumns({"part": F.lit(""), "written_by": F.lit(self.writer), "written_at": F.lit(self.moment).cast("timestamp_ntz")})
-            c.replace(table.values_table, kept.select(*m.value_schema.names).unionByName(stamped.select(*m.value_schema.names)))
+            stamped = stamped.select(*m.value_schema.names)
+            if kind == FULL:
+                c.replace(table.values_table, stamped)
+            else:
+                c.delete_keys(table.values_table, touched)
+                c.append(table.values_table, stamped)
             lines.append((self.id, self.writer, self.moment, top + 1 + i, m.name, kind, now))
         c.append(LEDGER, spark.createDataFrame(lines, LEDGER_SCHEMA))
         kept = c.read(WATERMARK).filter(~((F.col("writer") == self.writer) & F.col("measure").isin(*names)))
@@ -514,7 +525,9 @@ def state_at(table: MeasureTable, moment: dt.datetime, history: MeasureHistory |
     if files:
         exported = table.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*files).filter(F.col("measure") == m.name)
         ledger = ledger.unionByName(exported.select(*LEDGER_SCHEMA.names).distinct())
-        sources.append(exported.filter("record_id IS NOT NULL").select(*m.contribution_schema.names))
+        # a day that is being compacted has its rows twice for a moment; a refresh has a record's key once
+        given = exported.filter("record_id IS NOT NULL").groupBy("refresh_id", "writer", "record_id", *m.names).agg(F.first("value").alias("value"))
+        sources.append(given.select(*m.contribution_schema.names))
     ledger = ledger.filter(F.col("refreshed_at") <= F.lit(moment).cast("timestamp_ntz")).groupBy("writer", "refresh_id").agg(F.max("seq").alias("seq"), F.max("kind").alias("kind"))
     since = ledger.filter(F.col("kind") == FULL).agg(F.max("seq")).first()[0]
     if since is not None:
@@ -556,7 +569,7 @@ class MeasureHistory:
 
         result = self.store.change(work)
         done = waiting.select("writer", "refresh_id")
-        table.store.change(lambda c: c.replace(table.contributions_table, c.read(table.contributions_table).join(done, ["writer", "refresh_id"], "left_anti").select(*m.contribution_schema.names)))
+        table.store.change(lambda c: c.delete_keys(table.contributions_table, done))
         return result
 
     def forget_shipped(self, table: MeasureTable, older_than: dt.timedelta, now: dt.datetime | None = None) -> int:
@@ -585,9 +598,14 @@ class MeasureHistory:
         return table.value_count()
 
     def export(self, table: MeasureTable, location: str) -> int:
-        """Writes refreshes that were not exported yet, a folder per day, and returns how many there were."""
+        """Writes refreshes that were not exported yet, a folder per day, each once, and returns how many there were.
+
+        An attempt writes to a folder of its own that readers don't see. Only that of the attempt which was published is
+        moved to its days, file by file; what a crash leaves behind is moved by the next export."""
         m, mark = table.measure, f"{table.measure.name}_exported"
-        exported_schema = columns(writer="string", refresh_id="string")
+        exported_schema = columns(writer="string", refresh_id="string", attempt="string")
+        place = self.store.files.__class__(table.spark, f"{location.rstrip('/')}/measure={m.name}")
+        tries: list[str] = []
 
         def work(c: Change) -> int:
             if not c.exists(mark):
@@ -595,25 +613,49 @@ class MeasureHistory:
             ledger = c.read(LEDGER).filter(F.col("measure") == m.name).join(c.read(mark), ["writer", "refresh_id"], "left_anti")
             n = ledger.count()
             if n:
+                attempt = uuid.uuid4().hex
+                tries.append(attempt)
                 rows = ledger.join(c.read(table.contributions_table), ["writer", "refresh_id"], "left")
                 day = F.to_date("refreshed_at").cast("string")
                 rows = rows.select(*LEDGER_SCHEMA.names, "record_id", *m.names, "value", day.alias("day"))
-                rows.repartition("day").write.mode("append").option("compression", "zstd").partitionBy("day").parquet(f"{location.rstrip('/')}/measure={m.name}")
-                c.append(mark, ledger.select("writer", "refresh_id"))
+                rows.repartition("day").write.option("compression", "zstd").partitionBy("day").parquet(f"{place.root}/_{attempt}")
+                c.append(mark, ledger.select("writer", "refresh_id", F.lit(attempt).alias("attempt")))
             return n
 
-        return self.store.change(work)
+        n = self.store.change(work)
+        for attempt in tries[:-1]:
+            place.delete(f"_{attempt}")
+        self._settle(place, mark)
+        return n
+
+    def _settle(self, place: FileSystem, mark: str) -> None:
+        """Moves the files of published attempts to their days."""
+        waiting = {n for n in place.names("") if n.startswith("_")}
+        if not waiting:
+            return
+        published = {f"_{r['attempt']}" for r in self.store.read(mark).select("attempt").distinct().collect()}
+        for folder in sorted(waiting & published):
+            for day in place.names(folder):
+                for file in place.names(f"{folder}/{day}") if day.startswith("day=") else []:
+                    if file.endswith(".parquet"):
+                        place.move(f"{folder}/{day}/{file}", f"{day}/{folder[1:]}-{file}")
+            place.delete(folder)
 
     def compact(self, table: MeasureTable, location: str, day: dt.date) -> int:
-        """One file in place of a day's files; returns how many there were."""
-        folder = f"measure={table.measure.name}/day={day.isoformat()}"
-        files = self.store.files.__class__(table.spark, location)
-        names = [n for n in files.names(folder) if n.endswith(".parquet")]
+        """One file in place of a day's files; returns how many there were. Readers that meet both count rows once."""
+        place = self.store.files.__class__(table.spark, f"{location.rstrip('/')}/measure={table.measure.name}")
+        folder = f"day={day.isoformat()}"
+        names = [n for n in place.names(folder) if n.endswith(".parquet")]
         if len(names) > 1:
-            rows = table.spark.read.parquet(*[f"{location.rstrip('/')}/{folder}/{n}" for n in names])
-            rows.coalesce(1).write.mode("append").option("compression", "zstd").parquet(f"{location.rstrip('/')}/{folder}")
+            new = f"_{uuid.uuid4().hex}"
+            rows = table.spark.read.parquet(*[f"{place.root}/{folder}/{n}" for n in names]).distinct()
+            rows.coalesce(1).write.option("compression", "zstd").parquet(f"{place.root}/{new}")
+            for file in place.names(new):
+                if file.endswith(".parquet"):
+                    place.move(f"{new}/{file}", f"{folder}/{new[1:]}-{file}")
+            place.delete(new)
             for n in names:
-                files.delete(f"{folder}/{n}")
+                place.delete(f"{folder}/{n}")
         return len(names)
 
     def prune(self, table: MeasureTable) -> int:
@@ -630,7 +672,7 @@ class MeasureHistory:
             rows = c.read(table.contributions_table)
             n = rows.join(old, ["writer", "refresh_id"], "left_semi").count()
             if n:
-                c.replace(table.contributions_table, rows.join(old, ["writer", "refresh_id"], "left_anti").select(*m.contribution_schema.names))
+                c.delete_keys(table.contributions_table, old)
                 if not c.exists(PRUNED):
                     c.create(PRUNED, pruned_schema)
                 c.append(PRUNED, table.spark.createDataFrame([(m.name, last["refreshed_at"])], pruned_schema))

@@ -18,6 +18,8 @@ from tessera.rows import CancelSignal, Cancelled
 from tessera.store import FileSystem, Store
 
 FINGERPRINT = 64 << 10
+#: Bytes that were added to a file and are read from where the last update ended; for more the file is read in parallel.
+DELTA = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ class Updated:
 class FileTable:
     """A text file parsed into a table of a store, kept up with the file as it grows.
 
-    ``update`` reads the lines after the last one known. If the file was replaced (it is shorter, or its first 64 KB that
+    ``update`` reads the bytes after the last line known, so keeping up costs what was added. If the file was replaced (it is shorter, or its first 64 KB that
     were there before are others), the table is built anew. Columns computed from the raw line may be added; a column's
     version is part of its identity, and a new version builds the table anew too.
     """
@@ -82,18 +84,48 @@ class FileTable:
 
         register(self.store.spark, name, kind, fn)
 
-    def _identity(self) -> dict[str, Any]:
-        spark = self.store.spark
+    def _bytes(self, first: int, end: int) -> bytes:
+        """Bytes of the file."""
         folder, _, file = self.source.path.rpartition("/")
-        fs = FileSystem(spark, folder)
-        size = fs.size(file)
+        fs = FileSystem(self.store.spark, folder)
         stream = fs._fs.open(fs.path(file))
         try:
-            head = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, FINGERPRINT)) if size else b""
+            stream.seek(first)
+            return bytes(self.store.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, end - first)) if end > first else b""
         finally:
             stream.close()
-        tail_whole = self.source.whole_last
-        return {"size": size, "head_size": len(head), "head": hashlib.sha256(bytes(head)).hexdigest(), "head_bytes": bytes(head), "whole": tail_whole}
+
+    def _identity(self) -> dict[str, Any]:
+        folder, _, file = self.source.path.rpartition("/")
+        size = FileSystem(self.store.spark, folder).size(file)
+        head = self._bytes(0, min(size, FINGERPRINT))
+        return {"size": size, "head_size": len(head), "head": hashlib.sha256(head).hexdigest(), "head_bytes": head}
+
+    def _line_end(self) -> bytes | None:
+        """The bytes that end a line, if lines can be told apart by them from any byte on."""
+        try:
+            plain = self.source.line_end.encode(self.source.encoding)
+        except LookupError:  # an encoding that only the JVM knows
+            return None
+        return plain if len(plain) == len(self.source.line_end) and not self.source.whole_last else None
+
+    def _whole(self, size: int) -> int:
+        """Where the last line that has an end ends."""
+        end = self._line_end()
+        at = size
+        while at > 0:
+            first = max(0, at - FINGERPRINT)
+            found = self._bytes(first, min(size, at + len(end) - 1)).rfind(end)
+            if found >= 0:
+                return first + found + len(end)
+            at = first
+        return 0
+
+    def _added(self, offset: int, end: int, known: int) -> DataFrame:
+        """Lines of a part of the file, numbered from ``known`` on."""
+        parts = self._bytes(offset, end).split(self._line_end())[:-1]
+        lines = [(known + i, p.decode(self.source.encoding, "replace").removesuffix("\r")) for i, p in enumerate(parts)]
+        return self.store.spark.createDataFrame(lines, "line long, raw string")
 
     def _rows(self, lines: DataFrame) -> DataFrame:
         kept = lines.filter(self.parser.is_row(F.col("raw"))) if self.parser.is_row else lines
@@ -110,49 +142,47 @@ class FileTable:
             rows = rows.withColumn(name, from_raw(F.col("_raw")).cast(kind))
         return rows.drop("_raw")
 
-    def _ends_in_part(self, size: int) -> bool:
-        """Whether the file's last line has no end yet."""
-        if not size or self.source.whole_last:
-            return False
-        folder, _, file = self.source.path.rpartition("/")
-        fs = FileSystem(self.store.spark, folder)
-        stream = fs._fs.open(fs.path(file))
-        try:
-            stream.seek(size - 1)
-            return stream.read() != ord(self.source.line_end[-1])
-        finally:
-            stream.close()
+    def _all(self, size: int) -> DataFrame:
+        """All lines of the file that have an end."""
+        lines = self.source.lines(self.store.spark)
+        end = self.source.line_end.encode("UTF-8")[-1:]
+        if size and not self.source.whole_last and self._bytes(size - 1, size) != end:
+            last = lines.agg(F.max("line")).first()[0]
+            if last is not None:
+                lines = lines.filter(F.col("line") < last)
+        return lines
 
     def update(self, signal: CancelSignal | None = None) -> Updated:
         """Takes in what the file has more than before; whole, or not at all if the signal stops it."""
         now = self._identity()
         version = json.dumps({n: (k, v) for n, (k, _, v) in sorted(self.columns.items())})
-        lines = self.source.lines(self.store.spark)
-        if self._ends_in_part(now["size"]):
-            last = lines.agg(F.max("line")).first()[0]
-            if last is not None:
-                lines = lines.filter(F.col("line") < last)
+        end = self._whole(now["size"]) if self._line_end() else None
 
         def work(c) -> Updated:
             notes = c.tables[self.name]["notes"] if c.exists(self.name) else None
             same = notes is not None and notes["version"] == version and now["size"] >= notes["size"] and hashlib.sha256(now["head_bytes"][: notes["head_size"]]).hexdigest() == notes["head"]
             if same and now["size"] == notes["size"]:
-                return Updated(0, False, c.read(self.name).count())
-            known = notes["lines"] if same else 0
-            before = c.read(self.name).count() if same else 0
+                return Updated(0, False, notes["rows"])
+            known, before = (notes["lines"], notes["rows"]) if same else (0, 0)
             if signal and signal.cancelled:
                 raise Cancelled("the update was stopped")
-            total = lines.agg(F.coalesce(F.max("line") + 1, F.lit(0))).first()[0]
-            rows = self._rows(lines.filter(F.col("line") >= known))
+            offset = notes.get("offset") if same else None
+            if known and offset is not None and end is not None and end - offset <= DELTA:
+                lines = self._added(offset, end, known)
+            else:
+                lines = self._all(now["size"]).filter(F.col("line") >= known)
+            total = lines.agg(F.coalesce(F.max("line") + 1, F.lit(known))).first()[0]
+            folders = len(c.tables[self.name]["folders"]) if same else 0
+            rows = self._rows(lines)
             if same:
                 c.append(self.name, rows)
             else:
                 c.replace(self.name, rows)
-            c.note(self.name, version=version, size=now["size"], head=now["head"], head_size=now["head_size"], lines=total)
-            after = c.read(self.name).count()
+            added = c._files(c.tables[self.name]["folders"][folders:]).count()
+            c.note(self.name, version=version, size=now["size"], head=now["head"], head_size=now["head_size"], lines=total, offset=end, rows=before + added)
             if signal and signal.cancelled:
                 raise Cancelled("the update was stopped")
-            return Updated(after - before, notes is not None and not same, after)
+            return Updated(added, notes is not None and not same, before + added)
 
         return self.store.change(work)
 

@@ -65,7 +65,8 @@ class SparseTable:
         keys = self.spark.createDataFrame([(r,) for r in batch.records], "record_id long")
 
         def work(c: Change) -> None:
-            c.replace(self.name, c.read(self.name).join(keys, "record_id", "left_anti").unionByName(df))
+            c.delete_keys(self.name, keys)
+            c.append(self.name, df)
 
         self.store.change(work)
 

@@ -1,7 +1,9 @@
 """Tables as versioned Parquet folders, changed by publishing a manifest.
 
 A store is a folder. Its manifests ``_manifests/<n>.json`` say for each table which folders of Parquet files make it up,
-its schema, its key and notes. A change writes new folders first and then creates manifest n + 1; creating it fails if
+which keys were deleted from how many of the first of these, its schema, its key and notes. So an upsert, delete or update
+by key writes what it changes and no more; readers leave deleted keys out by an anti-join, and once ``MOST_DELETES`` lists
+of keys have gathered the table is written anew without them. A change writes new folders first and then creates manifest n + 1; creating it fails if
 another writer was faster, and then the change is made again on the newer state. So a change of several tables shows at
 once or not at all, readers keep the files of the manifest they began with, and a crash leaves only unused folders.
 
@@ -14,14 +16,19 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Lists of deleted keys that a table carries at most, and how many keys of theirs may go to every task.
+MOST_DELETES, FEW_KEYS = 16, 500_000
+
+
 class StoreError(Exception):
     """A refused change: a duplicate key, a missing table, a schema that differs."""
 
@@ -79,6 +86,12 @@ class FileSystem:
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
 
+    def move(self, name: str, to: str) -> None:
+        """Moves a file to a place that is free; its folder is made."""
+        self._fs.mkdirs(self.path(to).getParent())
+        if not self._fs.rename(self.path(name), self.path(to)):
+            raise StoreError(f"{name} can't be moved to {to}")
+
     def modified(self, name: str) -> float:
         return self._fs.getFileStatus(self.path(name)).getModificationTime() / 1000
 
@@ -102,9 +115,24 @@ class Change:
             raise StoreError(f"no table {name}")
         entry = self.tables[name]
         schema = T.StructType.fromJson(entry["schema"])
-        if not entry["folders"]:
-            return self.store.spark.createDataFrame([], schema)
-        return self.store.spark.read.schema(schema).parquet(*[f"{self.store.files.root}/{f}" for f in entry["folders"]])
+        folders, deletes = entry["folders"], entry.get("deletes", [])
+        ends = sorted({len(folders), *(x["before"] for x in deletes)} - {0})
+        parts = [self._without(self._files(folders[a:b], schema), [x for x in deletes if x["before"] >= b]) for a, b in zip([0, *ends], ends)]
+        return reduce(DataFrame.unionAll, parts) if parts else self.store.spark.createDataFrame([], schema)
+
+    def _files(self, folders: list[str], schema: T.StructType | None = None) -> DataFrame:
+        reader = self.store.spark.read.schema(schema) if schema is not None else self.store.spark.read
+        return reader.parquet(*[f"{self.store.files.root}/{f}" for f in folders])
+
+    def _without(self, df: DataFrame, deletes: list[dict]) -> DataFrame:
+        """``df`` without the rows whose keys the lists hold."""
+        for columns in dict.fromkeys(tuple(x["columns"]) for x in deletes):
+            lists = [x for x in deletes if tuple(x["columns"]) == columns]
+            keys = self._files([x["folder"] for x in lists]).toDF(*[f"_{c}" for c in columns])
+            if sum(x["rows"] for x in lists) <= FEW_KEYS:
+                keys = F.broadcast(keys)
+            df = df.join(keys, [df[c].eqNullSafe(keys[f"_{c}"]) for c in columns], "left_anti")
+        return df
 
     def schema(self, name: str) -> T.StructType:
         return T.StructType.fromJson(self.tables[name]["schema"])
@@ -117,13 +145,13 @@ class Change:
     def create(self, name: str, schema: T.StructType, key: list[str] | None = None, notes: dict | None = None) -> None:
         if name in self.tables:
             raise StoreError(f"table {name} is there already")
-        self.tables[name] = {"folders": [], "schema": _nullable(schema).jsonValue(), "key": key or [], "notes": notes or {}}
+        self.tables[name] = {"folders": [], "deletes": [], "schema": _nullable(schema).jsonValue(), "key": key or [], "notes": notes or {}}
         self.touched = True
 
     def replace(self, name: str, df: DataFrame) -> None:
         """All rows anew; the schema may differ. ``df`` may read the table itself."""
         old = self.tables.get(name, {"key": [], "notes": {}})
-        self.tables[name] = old | {"folders": [self._write(name, df)], "schema": _nullable(df.schema).jsonValue()}
+        self.tables[name] = old | {"folders": [self._write(name, df)], "deletes": [], "schema": _nullable(df.schema).jsonValue()}
         self.touched = True
 
     def append(self, name: str, df: DataFrame) -> None:
@@ -139,6 +167,12 @@ class Change:
         self.tables[name] = entry | {"folders": [*entry["folders"], self._write(name, same)]}
         self.touched = True
 
+    def adopt(self, name: str, folders: list[str]) -> None:
+        """Adds folders that were written beforehand, in the table's schema."""
+        entry = self.tables[name]
+        self.tables[name] = entry | {"folders": [*entry["folders"], *folders]}
+        self.touched = True
+
     def drop(self, name: str) -> None:
         self.touched |= self.tables.pop(name, None) is not None
 
@@ -147,12 +181,28 @@ class Change:
         self.touched = True
 
     def upsert(self, name: str, rows: DataFrame, key: list[str] | None = None) -> None:
-        """Rows with their keys new or in place of the old ones. Which of several rows of a key counts is not said."""
-        key = key or self.tables[name]["key"]
-        new = rows.dropDuplicates(key)
-        old = self.read(name)
-        kept = old.join(new.select(*[F.col(k).alias(f"_{k}") for k in key]), [old[k].eqNullSafe(F.col(f"_{k}")) for k in key], "left_anti")
-        self.replace(name, kept.unionByName(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema])))
+        """Rows with their keys new or in place of the old ones; of several rows of a key the last one counts, in the
+        order of the partitions of ``rows`` (files don't keep one)."""
+        key, schema = key or self.tables[name]["key"], self.schema(name)
+        same = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]).withColumn("_given", F.monotonically_increasing_id())
+        last = same.groupBy(*key).agg(F.max_by(F.struct(*schema.names), "_given").alias("_row")).select("_row.*")
+        folder = self._write(name, last)
+        self._forget(name, self._files([folder], schema).select(*key))
+        self.adopt(name, [folder])
+
+    def _forget(self, name: str, keys: DataFrame) -> None:
+        """Deletes the keys from what the table has so far."""
+        entry = self.tables[name]
+        if not entry["folders"]:
+            return
+        folder = self._write(name, keys)
+        n = self._files([folder]).count()
+        if n:
+            mark = {"folder": folder, "columns": keys.columns, "before": len(entry["folders"]), "rows": n}
+            self.tables[name] = entry | {"deletes": [*entry.get("deletes", []), mark]}
+            self.touched = True
+        if len(self.tables[name].get("deletes", [])) > MOST_DELETES:
+            self.replace(name, self.read(name))
 
     def insert(self, name: str, rows: DataFrame) -> None:
         """Rows whose keys must be new and not null, each once."""
@@ -172,19 +222,36 @@ class Change:
 
     def delete_keys(self, name: str, keys: DataFrame) -> None:
         """Rows whose key columns, those of ``keys``, are among its rows go."""
-        old = self.read(name)
-        on = [old[k].eqNullSafe(keys[k]) for k in keys.columns]
-        self.replace(name, old.join(keys, on, "left_anti"))
+        schema = self.schema(name)
+        self._forget(name, keys.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in keys.columns]).distinct())
+
+    def delete_where(self, name: str, condition: str | Column) -> None:
+        """Rows for which the condition is true go. Without a key the table is written anew."""
+        hit = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
+        df, key = self.read(name), self.tables[name]["key"]
+        if key:
+            self._forget(name, df.filter(hit).select(*key))
+        else:
+            self.replace(name, df.filter(~hit))
+
+    def update_where(self, name: str, condition: str | Column, values: dict[str, Any]) -> None:
+        """Sets columns of the rows for which the condition is true. Without a key the table is written anew."""
+        hit = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
+        old, key = self.read(name), self.tables[name]["key"]
+        set_ = {c: (v if isinstance(v, Column) else F.lit(v)).cast(old.schema[c].dataType) for c, v in values.items()}
+        if not key:
+            self.replace(name, old.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in set_.items()}))
+            return
+        found = old.filter(hit)
+        before = [F.col(k).alias(f"_{k}") for k in key]
+        folder = self._write(name, found.select(*before, *[set_.get(c, F.col(c)).alias(c) for c in old.columns]))
+        changed = self._files([folder])
+        self._forget(name, changed.select(*[F.col(f"_{k}").alias(k) for k in key]))
+        self.append(name, changed.select(*old.columns))
 
-    def delete_where(self, name: str, condition: str) -> None:
-        """Rows for which the SQL condition is true go."""
-        self.replace(name, self.read(name).filter(~F.coalesce(F.expr(condition), F.lit(False))))
 
-    def update_where(self, name: str, condition: str, values: dict[str, Any]) -> None:
-        old = self.read(name)
-        hit = F.coalesce(F.expr(condition), F.lit(False))
-        new = {c: F.when(hit, v if not isinstance(v, (str, int, float, bool, type(None))) else F.lit(v)).otherwise(F.col(c)).cast(old.schema[c].dataType) for c, v in values.items()}
-        self.replace(name, old.withColumns(new))
+def _used(entry: dict) -> list[str]:
+    return [*entry["folders"], *(x["folder"] for x in entry.get("deletes", []))]
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -232,7 +299,7 @@ class Store:
         return self.state().tables[name]["notes"]
 
     def bytes_used(self, name: str) -> int:
-        return sum(self.files.size(f) for f in self.state().tables[name]["folders"])
+        return sum(self.files.size(f) for f in _used(self.state().tables[name]))
 
     def sorted_rewrite(self, name: str, order: list[str], partitions: int | None = None) -> None:
         """The table in files sorted by ``order``, so that scans with a range of it skip files and row groups."""
@@ -274,7 +341,7 @@ class Store:
         ``table``, only its folders go."""
         names = [n for n in self.files.names("_manifests") if n.endswith(".json")]
         kept = names[-keep:]
-        used = {f for n in kept for entry in json.loads(self.files.read(f"_manifests/{n}")).values() for f in entry["folders"]}
+        used = {f for n in kept for entry in json.loads(self.files.read(f"_manifests/{n}")).values() for f in _used(entry)}
         limit, gone = time.time() - idle, []
         for name in [table] if table else self.files.names(""):
             if not name.startswith("_"):
@@ -288,45 +355,58 @@ class Store:
 
 
 class BulkWriter:
-    """Collects rows and writes them in chunks; ``with`` writes what is left.
+    """Collects rows and writes them in chunks; ``with`` publishes them as one change when it ends.
 
-    ``new_keys`` refuses rows whose keys the table has; else rows replace those of the same key (the last of a key
-    counts), or are just added if the table has no key."""
+    A chunk is written as it fills up and costs its own rows, whatever the table holds. ``new_keys`` refuses rows whose
+    keys the table has; else rows replace those of the same key (the last of a key counts), or are just added if the
+    table has no key. An error inside ``with`` publishes nothing."""
 
     def __init__(self, store: Store, table: str, chunk: int = 131_072, new_keys: bool = False):
         self.store, self.table, self.chunk, self.new_keys = store, table, chunk, new_keys
         state = store.state()
         self._schema, self._key = state.schema(table), state.tables[table]["key"]
         self._rows: list[tuple] = []
+        self._chunks: list[str] = []
+        self._given = 0  # rows so far: files don't keep the order of their rows
         self.written = 0
 
     def add(self, *row: Any) -> None:
         self._rows.append(row)
         if len(self._rows) >= self.chunk:
-            self.flush()
+            self._spill()
 
     def add_all(self, rows: Any) -> None:
         for row in rows:
             self.add(*row)
 
+    def _spill(self) -> None:
+        if self._rows:
+            rows = [(*row, self._given + i) for i, row in enumerate(self._rows)]
+            self._given += len(rows)
+            df = self.store.spark.createDataFrame(rows, T.StructType([*self._schema, T.StructField("_given", T.LongType())]))
+            self._chunks.append(self.store.state()._write(self.table, df))
+            self._rows = []
+
     def flush(self) -> None:
-        rows = self._rows
-        if not rows:
+        """Publishes what was added so far."""
+        self._spill()
+        if not self._chunks:
             return
-        if self._key and not self.new_keys:
-            at = [self._schema.names.index(k) for k in self._key]
-            rows = list({tuple(r[i] for i in at): r for r in rows}.values())
-        df = self.store.spark.createDataFrame(rows, self._schema)
-
-        def work(c: Change) -> None:
-            if self._key and not self.new_keys:
-                c.upsert(self.table, df)
-            else:
-                c.insert(self.table, df)
-
-        self.store.change(work)
-        self.written += len(rows)
-        self._rows = []
+        chunks, self._chunks = self._chunks, []
+
+        def work(c: Change) -> int:
+            if not self._key:
+                c.adopt(self.table, chunks)
+                return c._files(chunks).count()
+            rows = c._files(chunks)
+            if self.new_keys:
+                c.insert(self.table, rows.drop("_given"))
+                return rows.count()
+            last = rows.groupBy(*self._key).agg(F.max_by(F.struct(*self._schema.names), "_given").alias("_row")).select("_row.*")
+            c.upsert(self.table, last)
+            return last.count()
+
+        self.written += self.store.change(work)
 
     def __enter__(self) -> BulkWriter:
         return self

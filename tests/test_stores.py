@@ -1,6 +1,7 @@
 """The versioned store, journals, sparse tables, materializations, streams."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tessera.materialization import Materialization
 from tessera.operators.aggregates import rollup_of
 from tessera.schema import columns
 from tessera.sparse import SparseBatch, SparseTable
-from tessera.store import BulkWriter, Conflict, Store, StoreError
+from tessera.store import MOST_DELETES, BulkWriter, Conflict, Store, StoreError
 from tessera.streaming.tail import append_to, fold_into, sessions, tail_files, windowed
 
 
@@ -166,7 +167,7 @@ def test_bulk_writer_and_housekeeping(spark, store):
     store.change(lambda c: c.create("t", schema, ["id"]))
     with BulkWriter(store, "t", chunk=3) as w:
         w.add_all([(1, "a"), (2, "b"), (1, "c"), (3, "d"), (2, "e")])
-    assert w.written == 4 and pairs(store.read("t"), "id", "v") == [(1, "c"), (2, "e"), (3, "d")]
+    assert w.written == 3 and pairs(store.read("t"), "id", "v") == [(1, "c"), (2, "e"), (3, "d")]
     with pytest.raises(StoreError), BulkWriter(store, "t", new_keys=True) as w:
         w.add(1, "x")
     assert store.describe("t") == "t(id long, v string) key id"
@@ -175,3 +176,54 @@ def test_bulk_writer_and_housekeeping(spark, store):
     assert store.read("t").count() == 0 and store.exists("t")
     store.drop("t")
     assert not store.exists("t")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changes_against_a_dictionary(spark, store, seed):
+    """Random upserts, deletes and updates by key and condition, each writing no more than what it changes."""
+    rng = random.Random(seed)
+    schema = columns(id="long", v="string", n="long")
+    store.change(lambda c: c.create("t", schema, ["id"]))
+    have = {}
+    for step in range(24):
+        kind = rng.choice(["upsert", "upsert", "delete", "where", "update", "insert"])
+        ids = [rng.choice([None, *range(30)]) for _ in range(rng.randint(1, 6))]
+        before = set(store.state().tables["t"]["folders"])
+        if kind == "upsert":
+            rows = [(i, f"{step}-{j}", j) for j, i in enumerate(ids)]
+            have |= {r[0]: r[1:] for r in rows}
+            store.change(lambda c: c.upsert("t", spark.createDataFrame(rows, schema)))
+        elif kind == "insert":
+            rows = [(i, "new", 0) for i in {*ids} - have.keys() if i is not None]
+            have |= {r[0]: r[1:] for r in rows}
+            store.change(lambda c: c.insert("t", spark.createDataFrame(rows, schema)))
+        elif kind == "delete":
+            have = {i: r for i, r in have.items() if i not in ids}
+            store.change(lambda c: c.delete_keys("t", spark.createDataFrame([(i,) for i in ids], "id long")))
+        elif kind == "where":
+            have = {i: r for i, r in have.items() if r[1] != step % 4 or i is None}
+            store.change(lambda c: c.delete_where("t", f"n = {step % 4} AND id IS NOT NULL"))
+        else:
+            have = {i: (f"u{step}", r[1]) if r[1] == step % 3 else r for i, r in have.items()}
+            store.change(lambda c: c.update_where("t", f"n = {step % 3}", {"v": f"u{step}"}))
+        entry = store.state().tables["t"]
+        assert before <= set(entry["folders"]) or not entry["deletes"]  # nothing is written anew but by folding
+        assert len(entry["deletes"]) <= MOST_DELETES
+        if step % 6 == 5:
+            assert pairs(store.read("t").fillna({"id": -1}), "id", "v", "n") == sorted((-1 if i is None else i, *r) for i, r in have.items())
+    store.change(lambda c: c.update_where("t", "id < 5", {"id": F.col("id") + 100}))
+    assert pairs(store.read("t").filter("id >= 100"), "id") == sorted((i + 100,) for i in have if i is not None and i < 5)
+    store.vacuum(idle=0)
+    assert store.read("t").count() == len(have)
+
+
+def test_a_writer_that_fails_publishes_nothing(spark, store):
+    store.change(lambda c: c.create("t", columns(id="long", v="string"), ["id"]))
+    with pytest.raises(RuntimeError), BulkWriter(store, "t", chunk=2) as w:
+        w.add_all([(1, "a"), (2, "b"), (3, "c")])
+        raise RuntimeError
+    assert store.read("t").count() == 0
+    with BulkWriter(store, "t", chunk=2) as w:
+        w.add_all((i % 50, f"{i}") for i in range(101))
+    assert w.written == 50 and pairs(store.read("t").filter("id < 2"), "id", "v") == [(0, "100"), (1, "51")]
+    assert len(store.state().tables["t"]["folders"]) == 1
