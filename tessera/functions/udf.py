@@ -73,7 +73,7 @@ def once_per_value(df: DataFrame, column: str, kind: str, fn: Callable, name: st
     The values are made distinct and the results joined back null-safe, so a costly function pays off on columns of few
     values. Declared as not deterministic, it isn't moved below the step that makes values distinct."""
     result = checked(df.sparkSession, kind)
-    call = F.udf(lambda v: None if v is None else fn(v), result).asNondeterministic()
+    call = F.udf(lambda v: None if v is None else fn(v), result, useArrow=True).asNondeterministic()
     values = df.select(F.col(column).alias("_value")).distinct().withColumn(name, call(F.col("_value")))
     return df.join(values, df[column].eqNullSafe(values["_value"]), "left").drop("_value")
 

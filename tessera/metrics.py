@@ -118,24 +118,25 @@ class Metrics:
 
 
 class Cause(Enum):
-    WRITE_LOCK = "writers wait for one another"
-    CPU = "the cores are busy"
-    CONFLICTS = "commits are tried again and again"
-    MEMORY = "sorts and joins spill to disk"
-    PREPARES = "the same statements are planned over and over"
-    CONNECTION_CHURN = "sessions are opened for single statements"
-    ERRORS = "many statements fail"
+    """What Spark and the store show of why statements are slow or fail."""
 
+    SPILL = "sorts and aggregates spill to disk: use more, smaller partitions"
+    GARBAGE = "tasks spend their time collecting garbage: give executors memory"
+    FAILED_TASKS = "tasks fail and run again: executors are lost or code raises"
+    FULL_CLUSTER = "all cores are taken"
+    LOST_RACES = "changes of tables are made again because others were faster"
+    FAILING = "many statements fail"
 
-#: Cause, the ratio that tells it (a counter or gauge over another), and from what value on.
+
+#: Cause, the ratio that tells it (a counter or gauge over another), and from what value on. ``Sampler`` feeds those of
+#: tasks and cores, ``Store.metrics`` those of changes, ``timed`` those of statements.
 RULES = (
-    (Cause.WRITE_LOCK, "lock_wait_s", "write_s", 0.3),
-    (Cause.CPU, "busy_cores", "cores", 0.9),
-    (Cause.CONFLICTS, "conflicts", "commits", 0.1),
-    (Cause.MEMORY, "spilled_bytes", "shuffled_bytes", 0.5),
-    (Cause.PREPARES, "plan_s", "run_s", 0.5),
-    (Cause.CONNECTION_CHURN, "sessions", "statements", 0.5),
-    (Cause.ERRORS, "errors", "statements", 0.05),
+    (Cause.SPILL, "spilled_bytes", "task_bytes", 0.5),
+    (Cause.GARBAGE, "gc_ms", "task_ms", 0.2),
+    (Cause.FAILED_TASKS, "failed_tasks", "tasks", 0.02),
+    (Cause.FULL_CLUSTER, "busy_cores", "cores", 0.9),
+    (Cause.LOST_RACES, "lost_races", "changes", 0.1),
+    (Cause.FAILING, "errors", "statements", 0.05),
 )
 
 
@@ -197,6 +198,30 @@ class Sampler:
         metrics.gauge("heap_used", lambda: runtime.totalMemory() - runtime.freeMemory())
         metrics.gauge("heap_most", lambda: runtime.maxMemory())
         metrics.gauge("active_jobs", lambda: len(spark.sparkContext.statusTracker().getActiveJobsIds()))
+        status = spark._jsc.sc().statusStore()
+
+        def over_executors(value):
+            def total() -> float:
+                found, out = status.executorList(False), 0
+                for i in range(found.size()):
+                    out += value(found.apply(i))
+                return float(out)
+
+            return total
+
+        metrics.gauge("tasks", over_executors(lambda e: e.totalTasks()))
+        metrics.gauge("failed_tasks", over_executors(lambda e: e.failedTasks()))
+        metrics.gauge("task_ms", over_executors(lambda e: e.totalDuration()))
+        metrics.gauge("gc_ms", over_executors(lambda e: e.totalGCTime()))
+        metrics.gauge("task_bytes", over_executors(lambda e: e.totalInputBytes() + e.totalShuffleRead()))
+
+        def spilled() -> float:
+            stages, out = status.stageList(None), 0
+            for i in range(stages.size()):
+                out += stages.apply(i).diskBytesSpilled()
+            return float(out)
+
+        metrics.gauge("spilled_bytes", spilled)
 
     @staticmethod
     def other_processes(most: int = 5) -> list[tuple[int, str, float]]:

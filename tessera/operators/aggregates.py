@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.lineage import cut
+
 
 def latest(df: DataFrame, keys: list[str], order: str | list[str], value: str) -> DataFrame:
     """``value`` of each key's last row by ``order`` among those whose value is not null."""
@@ -96,6 +98,59 @@ def summarize(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*out)))
 
 
+#: Ranges that values are counted by to find a quantile's, and rows up to which a group's values are kept in one task.
+RANGES, KEPT_ROWS = 4096, 5_000_000
+_MOST = 8.9e307
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], kept: int = KEPT_ROWS) -> DataFrame:
+    """Quantiles of a number per group, with linear interpolation between neighbouring values, one column per name.
+
+    Null and NaN values don't count; a group without others has nulls, and null keys are a group. Infinite values count as
+    plus or minus 8.9e307. Of tables of more than ``kept`` rows no task holds a group's values: see ``_ranked``.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    number = F.col(value).cast("double")
+    rows = df.select(group.alias("_g"), F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.least(number, F.lit(_MOST)), F.lit(-_MOST))).alias("_v"))
+    if rows.count() <= kept:
+        out = rows.groupBy("_g").agg(F.percentile("_v", F.array(*map(F.lit, shares.values()))).alias("_p")).select("_g", *[F.col("_p")[i].alias(n) for i, n in enumerate(shares)])
+    else:
+        out = _ranked(rows, shares)
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], *shares)
+
+
+def _ranked(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Quantiles of ``_v`` per ``_g`` by ranges: values are counted per group and range (``RANGES`` that cut the span from
+    the smallest to the largest value evenly), running counts tell which range holds a wanted rank, and the values of
+    that range are counted by ranges of their own, until the rank is that of a range's smallest or largest value."""
+    spans = cut(rows.groupBy("_g").agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for name, q in shares.items()]))
+    asked = spans.filter("_n > 0").select("_g", "_lo", "_hi", wanted.alias("_q"))
+    below, weight = F.floor("_q.at"), F.col("_q.at") - F.floor("_q.at")
+    ends = F.explode(F.array(F.struct(below.alias("r"), (1 - weight).alias("w")), F.struct((below + 1).alias("r"), weight.alias("w"))))
+    ranks = cut(asked.select("_g", "_lo", "_hi", F.col("_q.name").alias("_name"), ends.alias("_e")).select("_g", "_lo", "_hi", "_name", F.col("_e.r").alias("_rank"), F.col("_e.w").alias("_w")).filter("_w > 0"))
+    window = ["_g", "_lo", "_hi", "_skip"]  # values from _lo to _hi, of which _skip come before in the group
+    open_ = ranks.select("_g", "_lo", "_hi", F.lit(0).cast("long").alias("_skip"), "_rank").distinct()
+    known = None
+    while True:
+        windows = cut(open_.select(*window).distinct())
+        width = (F.col("_hi") / RANGES) - (F.col("_lo") / RANGES)
+        cell = F.when(width > 0, F.least(F.floor(F.col("_v") / width - F.col("_lo") / width), F.lit(RANGES - 1))).otherwise(F.lit(0)).cast("int")
+        near = F.broadcast(windows) if windows.limit(100_001).count() <= 100_000 else windows
+        cells = rows.join(near, "_g").filter("_v >= _lo AND _v <= _hi").groupBy(*window, cell.alias("_cell")).agg(F.count("*").alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        ahead = Window.partitionBy(*window).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.withColumn("_before", F.col("_skip") + F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+        met = cut(open_.join(placed, window).filter("_rank >= _before AND _rank < _before + _c").select("_g", "_rank", "_before", "_c", "_from", "_to"))
+        first, last = F.col("_rank") == F.col("_before"), (F.col("_rank") == F.col("_before") + F.col("_c") - 1) | (F.col("_from") == F.col("_to"))
+        found = met.filter(first | last).select("_g", "_rank", F.when(first, F.col("_from")).otherwise(F.col("_to")).alias("_v"))
+        known = found if known is None else known.unionAll(found)
+        open_ = met.filter(~(first | last)).select("_g", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), F.col("_before").alias("_skip"), "_rank")
+        if not open_.take(1):
+            break
+    values = ranks.join(known, ["_g", "_rank"]).groupBy("_g").agg(*[F.sum(F.when(F.col("_name") == n, F.col("_v") * F.col("_w"))).alias(n) for n in shares])
+    return spans.select("_g").join(values, "_g", "left")
+
+
 def rollup_of(df: DataFrame, dimensions: list[str], totals: dict[str, str]) -> DataFrame:
     """An additive roll-up: per combination of dimensions the rows ``n`` and a sum per name of ``totals``."""
     return df.groupBy(*dimensions).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in totals.items()])
@@ -119,7 +174,8 @@ def time_bucket(time: Column | str, width: str) -> Column:
 
 
 def last_window(df: DataFrame, keys: list[str], time: str, value: str, width: str) -> DataFrame:
-    """Mean of ``value`` per key over the last ``width`` of the whole table's time."""
-    last = df.agg(F.max(time).alias("_last"))
-    recent = df.join(F.broadcast(last)).filter(F.col(time) > F.col("_last") - F.expr(f"INTERVAL {width}"))
+    """Mean of ``value`` per key over the last ``width`` of the whole table's time. That time is asked first (Parquet's
+    statistics can tell it), so that its bound reaches the scan as a plain value."""
+    since = df.agg((F.max(time) - F.expr(f"INTERVAL {width}")).cast("string")).first()[0]
+    recent = df.filter(F.col(time) > F.lit(since).cast(df.schema[time].dataType))
     return recent.groupBy(*keys).agg(F.avg(value).alias(f"avg_{value}"), F.count("*").alias("n"))

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.predicates import Predicate, select
 
-#: Rows that a lookup table may have to be sent to every task.
-SMALL_ROWS = 200_000
+#: Bytes, and rows, that a lookup table may have to be sent to every task.
+SMALL_BYTES, SMALL_ROWS = 32 << 20, 500_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has ``rows`` rows or fewer; else as it is, and the join shuffles it.
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes: fixed ones by type, texts by their length, nested values by their text."""
+    total = F.lit(8)
+    for f in schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total += F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total += F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            total += 16 if isinstance(kind, T.DecimalType) else 8
+    return total
 
-    The count stops after ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_BYTES, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if its rows take ``most`` bytes or fewer; else as it is, and the join shuffles it.
+
+    A plan that Catalyst guesses to be tiny (a 256th, as it knows no texts' lengths) isn't measured; measuring stops after
+    ``rows`` rows, and more are not small."""
+    guess = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(guess)) <= most // 256:
+        return F.broadcast(df)
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def _exploded(df: DataFrame, attribute: str) -> DataFrame:
@@ -43,7 +62,8 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     nothing; ``how="left"`` keeps such left rows with nulls. Right rows of equal time are told apart by ``tie`` (the last
     counts). A column of ``columns`` comes out under its name with ``prefix``.
 
-    A key with very many rows is one sorted run, which Spark spills; ``asof_salted`` splits such keys by time.
+    A key with very many rows is one sorted run, which Spark spills; ``asof_salted`` splits such keys by time, and
+    ``asof_any`` counts keys and chooses.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
@@ -92,6 +112,17 @@ def asof_salted(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
     return asof(lefts, rights, [*keys, "_bucket"], left_time, right_time, columns, how, prefix, tie).drop("_bucket")
 
 
+def asof_any(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], how: str = "inner", prefix: str = "", tie: list[str] | None = None, most: int = 5_000_000) -> DataFrame:
+    """``asof``, or ``asof_salted`` if some key has more than ``most`` rows: with buckets of time so wide that the largest
+    key has about ``most`` rows in each."""
+    sides = [df.dropna(subset=[*keys, t]).groupBy(*keys).agg(F.count("*").alias("n"), F.unix_seconds(F.min(t).cast("timestamp")).alias("a"), F.unix_seconds(F.max(t).cast("timestamp")).alias("b")) for df, t in ((left, left_time), (right, right_time))]
+    largest = sides[0].unionAll(sides[1]).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).orderBy(F.col("n").desc()).first()
+    if largest is None or largest["n"] <= most:
+        return asof(left, right, keys, left_time, right_time, columns, how, prefix, tie)
+    width = max(1, (largest["b"] - largest["a"]) * most // largest["n"])
+    return asof_salted(left, right, keys, left_time, right_time, columns, f"{width} seconds", how, prefix, tie)
+
+
 def differences(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys whose value differs between two states, with ``old`` and ``new``; null where a state lacks the key.
 

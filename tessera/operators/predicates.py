@@ -189,7 +189,8 @@ class Filter(Predicate):
         self.attribute, self.python = attribute, test
 
     def column(self, df: DataFrame) -> Column:
-        test = F.udf(lambda v: v is not None and bool(self.python(v)), "boolean")
+        python = self.python
+        test = F.udf(lambda v: v is not None and bool(python(v)), "boolean", useArrow=True)
         return test(F.col(self.attribute))
 
 
@@ -224,11 +225,22 @@ def _top(predicate: Predicate) -> list[Predicate]:
     return [predicate]
 
 
+def _element_flag(df: DataFrame, foreign: ExistsIn, keys: DataFrame) -> DataFrame:
+    """``df`` with the flag of an existence test on an array. Arrays are told apart by their elements: each distinct one
+    is exploded once, its elements meet the keys in a plain equality join, and the arrays with a match come back."""
+    elements = df.select(F.array_sort(F.array_distinct(foreign.attribute)).alias("_set")).distinct()
+    met = elements.withColumn("_element", F.explode("_set")).join(keys, F.col("_element") == F.col("_foreign_key"), "left_semi")
+    hit = met.select("_set").distinct().withColumn(foreign.flag, F.lit(True))
+    marked = df.withColumn("_set_of_row", F.array_sort(F.array_distinct(foreign.attribute)))
+    return marked.join(hit, marked["_set_of_row"] == hit["_set"], "left").drop("_set", "_set_of_row").withColumn(foreign.flag, F.coalesce(foreign.flag, F.lit(False)))
+
+
 def select(df: DataFrame, predicate: Predicate) -> DataFrame:
     """The rows that match, with the columns of ``df``.
 
     Conjuncts that are (negated) existence tests become semi- and anti-joins, the shapes Spark plans best; those nested
-    in ``Or`` or ``Not`` become flags from one left join on distinct keys each. Plain tests go first, to the scan.
+    in ``Or`` or ``Not``, and those of array attributes, become flags from equality joins on distinct keys. Plain tests go
+    first, to the scan.
     """
     columns = df.columns
     plain, rest = [], []
@@ -241,12 +253,15 @@ def select(df: DataFrame, predicate: Predicate) -> DataFrame:
         negated = isinstance(p, Not) and isinstance(p.parts[0], ExistsIn)
         test = p.parts[0] if negated else p
         if isinstance(test, ExistsIn):
-            keys = test.keys()
-            on = F.exists(out[test.attribute], lambda v: v == keys["_foreign_key"]) if isinstance(out.schema[test.attribute].dataType, T.ArrayType) else out[test.attribute] == keys["_foreign_key"]
-            out = out.join(keys, on, "left_anti" if negated else "left_semi")
-            continue
+            if not isinstance(out.schema[test.attribute].dataType, T.ArrayType):
+                keys = test.keys()
+                out = out.join(keys, out[test.attribute] == keys["_foreign_key"], "left_anti" if negated else "left_semi")
+                continue
         for foreign in _foreign(p):
             keys = foreign.keys().distinct().withColumn(foreign.flag, F.lit(True))
+            if isinstance(out.schema[foreign.attribute].dataType, T.ArrayType):
+                out = _element_flag(out, foreign, keys)
+                continue
             out = out.join(keys, out[foreign.attribute] == keys["_foreign_key"], "left").drop("_foreign_key").withColumn(foreign.flag, F.coalesce(foreign.flag, F.lit(False)))
         out = out.filter(p.column(out)).select(*columns)
     return out.select(*columns)

@@ -9,9 +9,12 @@ from enum import Enum
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import first_per_key
+
 
 class Metric(Enum):
     COSINE = "cosine"
@@ -66,6 +69,14 @@ class VectorSearch:
         return "no graph index here: searches scan all vectors, which is exact; VectorIndex scans the nearest lists only"
 
 
+def _best_of(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, own, s = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((own, s if metric is Metric.EUCLIDEAN else -s, i))
+    i, own, s = i[order], own[order], s[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], own[place < k], s[place < k]
+
+
 class VectorIndex:
     """Lists of vectors around centres: a search looks into the nearest few lists and ranks their vectors exactly.
 
@@ -77,6 +88,8 @@ class VectorIndex:
     """
 
     SAMPLE, QUERIES, RECALL, NEIGHBOURS = 20_000, 200, 0.97, 10
+    #: Queries that are answered in one pass over the vectors.
+    BLOCK = 512
 
     def __init__(self, spark: SparkSession, location: str, centres: np.ndarray, id: str, vector: str, metric: Metric, probes: int):
         self.spark, self.location, self.centres, self.id, self.vector, self.metric, self.probes = spark, location, centres, id, vector, metric, probes
@@ -108,7 +121,9 @@ class VectorIndex:
             return pd.Series(cls._nearest(v, shared.value))
 
         placed = usable.filter((F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull())).withColumn("_list", list_of(vector))
-        placed.repartition("_list").write.mode("overwrite").partitionBy("_list").parquet(location)
+        # a list's vectors go to as many tasks as there are cores for each list, so that large lists are no single task
+        spread = max(1, -(-df.sparkSession.sparkContext.defaultParallelism // len(centres)))
+        placed.repartition(len(centres) * spread, "_list", F.pmod(F.xxhash64(id), F.lit(spread))).write.mode("overwrite").partitionBy("_list").parquet(location)
         return cls(df.sparkSession, location, centres, id, vector, metric, probes)
 
     @staticmethod
@@ -132,6 +147,60 @@ class VectorIndex:
             ranks.append(place[list_of[np.argsort(far, kind="stable")[: cls.NEIGHBOURS + 1]]])
         return int(np.quantile(np.concatenate(ranks), cls.RECALL, method="higher")) + 1
 
+    def neighbours(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
+        """``query`` (an id), the ``k`` nearest ids and their ``score`` for every row of ``queries`` (a stated set with the
+        index's columns), over all vectors of the lists each query probes; with ``exact`` over all lists.
+
+        Queries go to the vectors in blocks of ``BLOCK``, as arrays in every task; each task keeps the best ``k`` per query
+        of what it has read, and only these meet."""
+        size, block, unit, best = self.centres.shape[1], 0, self.metric is Metric.COSINE, None
+        rows = queries.filter((F.size(self.vector) == size) & ~F.exists(self.vector, lambda x: x.isNull())).select(F.col(self.id).alias("query"), self.vector).orderBy("query").toArrow()
+        kind = queries.schema[self.id].dataType.simpleString()
+        vectors = self.spark.read.parquet(self.location).select("_list", self.id, self.vector)
+        for block in range(0, rows.num_rows, self.BLOCK):
+            part = rows.slice(block, self.BLOCK)
+            ids, q = np.array(part["query"].to_pylist()), np.array(part[self.vector].to_pylist(), float)
+            lengths = np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            probed = np.zeros((len(q), len(self.centres)), bool)
+            for i, v in enumerate(q / lengths if unit else q):
+                probed[i, self._order(v, self.centres, self.metric)[: probes or self.probes]] = True
+            shared = self.spark.sparkContext.broadcast((ids, q, lengths, probed | exact))
+            found = vectors.filter(F.col("_list").isin(*np.flatnonzero(shared.value[3].any(axis=0)).tolist())).mapInArrow(self._best(shared, k), f"query {kind}, {self.id} {kind}, score double")
+            best = found if best is None else best.unionAll(found)
+        if best is None:
+            return self.spark.createDataFrame([], f"query {kind}, {self.id} {kind}, score double")
+        order = F.col("score").asc() if self.metric is Metric.EUCLIDEAN else F.col("score").desc()
+        return first_per_key(best, ["query"], [order, F.col(self.id)], k)
+
+    def _best(self, shared, k: int):
+        metric, name = self.metric, self.id
+
+        def run(batches):
+            ids, q, lengths, probed = shared.value
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            kind = None
+            for batch in batches:
+                kind = batch.schema.field(1).type
+                list_of, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                v = np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(float)
+                s = q @ v.T
+                if metric is Metric.COSINE:
+                    s = s / (lengths * np.maximum(np.linalg.norm(v, axis=1), 1e-300)[None, :])
+                elif metric is Metric.EUCLIDEAN:
+                    s = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] - 2 * s + (v**2).sum(axis=1)[None, :], 0))
+                worth = np.where(probed[:, list_of], -s if metric is Metric.EUCLIDEAN else s, -np.inf)
+                for i in range(len(q)):
+                    at = np.flatnonzero(worth[i] > -np.inf)
+                    at = at[np.lexsort((own[at], -worth[i][at]))[:k]]
+                    held.append((np.full(len(at), i), own[at], s[i][at]))
+                if len(held) > 8 * len(q):
+                    held = [_best_of(held, k, metric)]
+            if held and kind is not None:
+                i, own, s = _best_of(held, k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i], kind), pa.array(own, kind), pa.array(s, pa.float64())], names=["query", name, "score"])
+
+        return run
+
     def top_k(self, query: list[float], k: int, probes: int | None = None, where: Column | None = None) -> DataFrame:
         q = np.array(query, float)
         if self.metric is Metric.COSINE:

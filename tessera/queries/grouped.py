@@ -54,19 +54,28 @@ def agg_approx_distinct(spark, d):
 
 @query("agg_median", "SELECT o_orderpriority, median(o_totalprice) AS mid FROM orders GROUP BY o_orderpriority")
 def agg_median(spark, d):
-    return Tables(spark, d).orders.groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("mid"))
+    return A.quantiles(Tables(spark, d).orders, ["o_orderpriority"], "o_totalprice", {"mid": 0.5})
 
 
 @query("agg_quantile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10 FROM lineitem GROUP BY l_returnflag")
 def agg_quantile(spark, d):
-    both = Tables(spark, d).lineitem.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.95), F.lit(0.1))).alias("p"))
-    return both.select("l_returnflag", F.round(F.col("p")[0], 4).alias("p95"), F.round(F.col("p")[1], 4).alias("p10"))
+    both = A.quantiles(Tables(spark, d).lineitem, ["l_returnflag"], "l_extendedprice", {"p95": 0.95, "p10": 0.1})
+    return both.select("l_returnflag", F.round("p95", 4).alias("p95"), F.round("p10", 4).alias("p10"))
 
 
-@query("agg_latest_per_user", "SELECT user_id, arg_max(v, ts) AS v FROM (SELECT user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) GROUP BY user_id")
+@query("agg_quantile_by_ranges", "SELECT l_shipmode, round(quantile_cont(l_quantity, 0.25), 4) AS q25, round(median(l_extendedprice), 4) AS mid, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM (SELECT *, CASE WHEN l_suppkey % 3 = 0 THEN 'x' ELSE l_returnflag END AS l_shipmode FROM lineitem) GROUP BY 1")
+def agg_quantile_by_ranges(spark, d):
+    """The way of large tables, whatever the size."""
+    l = Tables(spark, d).lineitem.withColumn("l_shipmode", F.when(F.col("l_suppkey") % 3 == 0, "x").otherwise(F.col("l_returnflag")))  # noqa: E741
+    a = A.quantiles(l, ["l_shipmode"], "l_quantity", {"q25": 0.25}, kept=0)
+    b = A.quantiles(l, ["l_shipmode"], "l_extendedprice", {"mid": 0.5, "p99": 0.99}, kept=0)
+    return a.join(b, "l_shipmode").select("l_shipmode", *[F.round(c, 4).alias(c) for c in ("q25", "mid", "p99")])
+
+
+@query("agg_latest_per_user", "SELECT user_id, arg_max(v, (ts, event_id)) AS v FROM (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) GROUP BY user_id")
 def agg_latest_per_user(spark, d):
     e = Tables(spark, d).events.select("user_id", "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
-    return A.latest(e, ["user_id"], ["ts"], "v")
+    return A.latest(e, ["user_id"], ["ts", "event_id"], "v")
 
 
 @query("agg_filter_clause", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, round(sum(value) FILTER (WHERE event_type = 'purchase'), 2) AS spent FROM events GROUP BY user_id")

@@ -31,6 +31,8 @@ class Engine:
         self.spark = spark
         self.store = Store(spark, root) if root else None
         self.metrics = Metrics()
+        if self.store:
+            self.store.metrics = self.metrics
         self.catalog = Catalog(spark)
 
     @classmethod

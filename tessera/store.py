@@ -265,6 +265,11 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, FileSystem(spark, root)
+        self.metrics = None  # a ``Metrics`` that counts changes and lost races
+
+    def _count(self, name: str) -> None:
+        if self.metrics is not None:
+            self.metrics.count(name)
 
     def _latest(self) -> tuple[int, dict[str, dict]]:
         numbers = [int(n[:-5]) for n in self.files.names("_manifests") if n.endswith(".json")]
@@ -283,7 +288,9 @@ class Store:
             change = Change(self, number, dict(tables))
             result = work(change)
             if not change.touched or self.files.create(f"_manifests/{number + 1:012d}.json", json.dumps(change.tables)):
+                self._count("changes")
                 return result
+            self._count("lost_races")
         raise Conflict(f"other writers were faster {self.TRIES} times")
 
     def read(self, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,43 @@ def test_vector_index(spark, tmp_path):
         exact = [x.vec_id for x in VectorSearch(df, "embedding", "vec_id").top_k(list(r.embedding), 5).collect()]
         assert [x.vec_id for x in index.top_k(list(r.embedding), 5, probes=8).collect()] == exact
         assert len(set(exact) & {x.vec_id for x in index.top_k(list(r.embedding), 5).collect()}) >= 4
+
+
+@pytest.mark.parametrize("kept", [0, 10**9])
+def test_quantiles_both_ways(spark, kept):
+    rng = random.Random(1)
+    groups = {"a": [rng.gauss(0, 1e3) for _ in range(500)], "b": [5.0] * 40, "c": [float(rng.randint(0, 3)) for _ in range(90)], "d": [1.0], "e": [1e300, -1e300, *[rng.random() for _ in range(200)]], None: [2.0, 4.0], "none": []}
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None]] + [("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.low, r.mid, r.high) for r in A.quantiles(df, ["g"], "v", {"low": 0.0, "mid": 0.5, "high": 0.93}, kept=kept).collect()}
+    for g, vs in groups.items():
+        want = tuple(float(np.quantile(vs, q)) for q in (0.0, 0.5, 0.93)) if vs else (None, None, None)
+        assert got[g] == (pytest.approx(want, rel=1e-9) if vs else want)
+    assert tuple(A.quantiles(df.filter("g = 'c'"), [], "v", {"mid": 0.5}, kept=kept).first()) == (np.median(groups["c"]),)
+
+
+def test_existence_by_elements(spark):
+    df = spark.createDataFrame([(1, ["x", "y"]), (2, ["z"]), (3, []), (4, None), (5, ["y", "q", None])], "id long, tags array<string>")
+    other = spark.createDataFrame([("y",), ("q",), ("w",), (None,)], "tag string")
+    has = P.ExistsIn(other, "tags", "tag")
+    ids = lambda p: sorted(r.id for r in P.select(df, p).collect())
+    assert ids(has) == [1, 5] and ids(~has) == [2, 3, 4]
+    assert ids(has | P.Equal("id", 2)) == [1, 2, 5] and ids(~has & P.GreaterThan("id", 2)) == [3, 4]
+    plan = P.select(df, has)._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan.lower()
+
+
+def test_broadcast_by_bytes(spark):
+    marked = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(2000).select(F.repeat(F.lit("x"), 1000).alias("s"), "id").repartition(2)
+    assert marked(J.broadcast_if_small(wide, 4 << 20)) and not marked(J.broadcast_if_small(wide, 1 << 16))
+    assert not marked(J.broadcast_if_small(wide, 1 << 14, rows=10))
+
+
+def test_asof_chooses_by_size(spark):
+    rng = random.Random(4)
+    made = lambda n, c: spark.createDataFrame([(rng.choice("aab"), rng.randint(0, 5000), i) for i in range(n)], f"k string, s long, {c} long").select("k", F.timestamp_seconds("s").alias(f"t_{c}"), c)
+    left, right = made(300, "x").cache(), made(300, "y").cache()
+    how = dict(keys=["k"], left_time="t_x", right_time="t_y", columns=["y"], how="left", tie=["y"])
+    plain, chosen = (sorted(map(tuple, df.collect()), key=repr) for df in (J.asof_any(left, right, **how), J.asof_any(left, right, **how, most=50)))
+    assert plain == chosen and len(plain) == 300

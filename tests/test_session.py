@@ -379,9 +379,9 @@ def test_metrics(spark, tmp_path):
             1 / 0
     since = m.snapshot().minus(before)
     assert since.counters == {"errors": 10, "statements": 10} and list(since.timers) == ["SELECT ?/?"]
-    assert [f.cause for f in diagnose(m.snapshot())] == [Cause.ERRORS] and diagnose(since) == []
-    busy = Snapshot(0, {}, {"statements": 100, "conflicts": 50, "commits": 100}, {"busy_cores": 8, "cores": 8})
-    assert [f.cause for f in diagnose(busy)] == [Cause.CONFLICTS, Cause.CPU]
+    assert [f.cause for f in diagnose(m.snapshot())] == [Cause.FAILING] and diagnose(since) == []
+    busy = Snapshot(0, {}, {"statements": 100, "lost_races": 50, "changes": 100}, {"busy_cores": 8, "cores": 8})
+    assert [f.cause for f in diagnose(busy)] == [Cause.LOST_RACES, Cause.FULL_CLUSTER]
     r = Recorder(str(tmp_path), keep_days=2)
     assert json.loads(open(r.write(since, dt.date(2024, 1, 1))).read())["counters"]["errors"] == 10
     assert r.delete_expired(dt.date(2024, 1, 3)) == [] and r.delete_expired(dt.date(2024, 1, 4)) == ["metrics-2024-01-01.jsonl"]
