@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import posixpath
+import re
 from dataclasses import dataclass, field, replace
 from enum import Enum
 from typing import Any
@@ -27,8 +29,8 @@ class WhenOver(Enum):
 class QueryPolicy:
     """What guarded queries may read and how much they may return.
 
-    ``tables``: names that may be read (None: all registered ones). Files by path, and table functions other than
-    ``functions``, are refused whatever is registered.
+    ``tables``: names that may be read (None: all registered ones). Files by path are refused but for those below
+    ``folders``, and so are table functions other than ``functions``, whatever is registered.
     """
 
     max_rows: int = 10_000
@@ -38,6 +40,7 @@ class QueryPolicy:
     tables: frozenset[str] | None = None
     functions: frozenset[str] = frozenset({"range", "explode", "explode_outer", "posexplode", "inline", "stack", "json_tuple"})
     allow_pivot: bool = True
+    folders: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -96,13 +99,20 @@ class GuardedQuery:
         for parts in parse.relations(self.spark, body):
             name = ".".join(parts)
             if len(parts) > 1 and (parts[0].lower() in ("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "delta", "xml") or "/" in parts[-1]):
-                return f"files can't be read by path: {name}"
+                if not self._below(parts[-1]):
+                    return f"files can't be read by path: {name}"
+                continue
             if self.policy.tables is not None and name.lower() not in {t.lower() for t in self.policy.tables} | local:
                 return f"table {name} isn't allowed"
         if other := sorted(f for f in parse.table_functions(self.spark, body) if f not in self.policy.functions):
             return f"table functions aren't allowed: {', '.join(other)}"
         return None
 
+    def _below(self, path: str) -> bool:
+        """Whether a path lies in one of the folders that may be read; ways up and patterns are none."""
+        plain = posixpath.normpath(path)
+        return plain == path.rstrip("/") and not re.search(r"[*?{}\[\]\\]", path) and any(plain.startswith(f"{f.rstrip('/')}/") for f in self.policy.folders)
+
     def _local_names(self, sql: str) -> list[str]:
         """Names of a statement's own common table expressions."""
         out = []

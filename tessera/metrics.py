@@ -271,14 +271,21 @@ def page(s: Snapshot) -> str:
 
 
 class Dashboard:
-    """Serves the page and ``/metrics.json`` on this machine."""
+    """Serves the page, ``/metrics.json`` and ``/processes.json`` on this machine. With a recorder, a snapshot of what
+    happened since the last one is written every ``every`` seconds, and old days are deleted."""
+
+    def __init__(self, metrics: Metrics, port: int = 0, recorder: Recorder | None = None, every: float = 60.0):
+        self._closed, self._written, self._recording = threading.Event(), 0, None
+        if recorder is not None:
+            self._recording = threading.Thread(target=self._record, args=(metrics, recorder, every), daemon=True)
+            self._recording.start()
 
-    def __init__(self, metrics: Metrics, port: int = 0):
         class Handler(http.server.BaseHTTPRequestHandler):
             def do_GET(self) -> None:
                 s = metrics.snapshot()
-                as_json = self.path == "/metrics.json"
-                body = (json.dumps(s.as_dict()) if as_json else page(s)).encode()
+                as_json = self.path.endswith(".json")
+                shown = Sampler.other_processes() if self.path == "/processes.json" else s.as_dict()
+                body = (json.dumps(shown) if as_json else page(s)).encode()
                 self.send_response(200)
                 self.send_header("Content-Type", "application/json" if as_json else "text/html; charset=utf-8")
                 self.send_header("Content-Length", str(len(body)))
@@ -292,6 +299,25 @@ class Dashboard:
         self.port = self._server.server_address[1]
         threading.Thread(target=self._server.serve_forever, daemon=True).start()
 
+    def recorded(self) -> int:
+        """Statements that the recorder has written, once it has ended."""
+        if self._recording is not None:
+            self._recording.join()
+        return self._written
+
+    def _record(self, metrics: Metrics, recorder: Recorder, every: float) -> None:
+        before = metrics.snapshot()
+        while True:
+            over = self._closed.wait(every)
+            now = metrics.snapshot()
+            recorder.write(now.minus(before))
+            self._written += now.minus(before).counters.get("statements", 0)
+            recorder.delete_expired()
+            before = now
+            if over:
+                return
+
     def close(self) -> None:
+        self._closed.set()
         self._server.shutdown()
         self._server.server_close()

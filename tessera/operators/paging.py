@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.ordering import numbered
 
@@ -39,13 +41,22 @@ class Pages:
 
     ``descending`` names the columns whose order is reversed. Every page is a filter on the key and a top-n, so its cost
     doesn't grow with its position.
+
+    With ``bounded`` and a first column of numbers, dates or times the search for the rows after or before a key ends at
+    ``REACH`` times the stretch that a page takes up on average, which lets a scan skip files on both sides. Where that
+    stretch holds too few rows the search is made again without an end, so pages stay exact.
     """
 
+    REACH = 4
+
     df: DataFrame
     order: list[str]
     size: int
     descending: frozenset[str] = frozenset()
+    bounded: bool = False
     _count: int | None = field(default=None, init=False)
+    _span: float | None = field(default=None, init=False)
+    searches: int = field(default=0, init=False)
 
     def __post_init__(self):
         if not self.order:
@@ -81,6 +92,38 @@ class Pages:
         df = self.df if key is None else self.df.filter(self.condition(key, False))
         return df.orderBy(*self.sort(reverse=True)).limit(n)
 
+    def _fetch(self, key: tuple | None, n: int, after: bool) -> list[Row]:
+        """The ``n`` rows after a key, or before it."""
+        found = self.df if key is None else self.df.filter(self.condition(key, after))
+        end = self._end(key, n, after) if self.bounded and key is not None else None
+        for part in ([] if end is None else [found.filter(end)]) + [found]:
+            self.searches += 1
+            rows = part.orderBy(*self.sort(reverse=not after)).limit(n).collect()
+            if len(rows) == n:
+                break
+        return rows
+
+    def _end(self, key: tuple, n: int, after: bool) -> Column | None:
+        """How far the search for ``n`` rows goes at first."""
+        first, value = F.col(self.order[0]), key[0]
+        kind = self.df.schema[self.order[0]].dataType
+        if not isinstance(kind, (T.IntegralType, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType)) or isinstance(kind, T.DecimalType):
+            return None
+        if self._span is None:
+            low, high, self._count = self.df.agg(F.min(first), F.max(first), F.count("*")).first()
+            wide = (high - low) if self._count else 0
+            wide = wide.total_seconds() if isinstance(wide, dt.timedelta) else float(wide)
+            self._span = wide / max(1, self._count)
+        reach = self._span * n * self.REACH
+        if isinstance(kind, T.DateType):
+            reach = dt.timedelta(days=reach // 86_400 + 1)
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            reach = dt.timedelta(seconds=reach)
+        elif isinstance(kind, T.IntegralType):
+            reach = int(reach) + 1
+        up = (self.order[0] in self.descending) != after
+        return first <= F.lit(value + reach) if up else first >= F.lit(value - reach)
+
     def _exists(self, condition: Column) -> bool:
         return bool(self.df.filter(condition).take(1))
 
@@ -93,11 +136,11 @@ class Pages:
         return Page(rows[: self.size][::-1], len(rows) > self.size, False, tuple(self.order))
 
     def after(self, key: tuple) -> Page:
-        rows = self.after_df(key, self.size + 1).collect()
+        rows = self._fetch(key, self.size + 1, True)
         return Page(rows[: self.size], self._exists(self.condition(key, False, True)), len(rows) > self.size, tuple(self.order))
 
     def before(self, key: tuple) -> Page:
-        rows = self.before_df(key, self.size + 1).collect()
+        rows = self._fetch(key, self.size + 1, False)
         return Page(rows[: self.size][::-1], len(rows) > self.size, self._exists(self.condition(key, True, True)), tuple(self.order))
 
     def around(self, key: tuple, each: int) -> Page:

@@ -59,6 +59,10 @@ class SparseTable:
         df = self.spark.createDataFrame([(r, a, v) for (r, a), v in batch.rows.items()], POINTS)
         self.store.change(lambda c: c.append(self.name, df))
 
+    def append_points(self, points: DataFrame) -> None:
+        """Rows of record_id, attribute and value, each attribute once per record."""
+        self.store.change(lambda c: c.append(self.name, points))
+
     def replace(self, batch: SparseBatch) -> None:
         """The batch's records have its values and no others."""
         df = self.spark.createDataFrame([(r, a, v) for (r, a), v in batch.rows.items()], POINTS)
