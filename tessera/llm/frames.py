@@ -52,12 +52,15 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns of a row that can be hashed. Rows that share it and a key are taken for copies."""
+    """A hash of all columns of a row that can be hashed.
+
+    For aggregates only: of a projection Catalyst would note that the hash equals this expression, and rename each of its
+    columns in that note or not, which is two to the power of the columns."""
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
 
 
 def place(key: str = "_key", row: str = "_id") -> Column:
-    """The order of rows: by key, null keys last, then by the row's hash."""
+    """The order of rows: by key, null keys last, then by the text's hash."""
     return F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col(row).alias("i"))
 
 
@@ -66,10 +69,11 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
 
 
 def keeping(named: DataFrame, rows: DataFrame, stay: DataFrame) -> DataFrame:
-    """``named`` (``_key``, ``_id`` and anything else) without the rows that don't stay, and once what stays repeatedly.
+    """``named`` (``_key``, ``_id`` and anything else) without the rows that don't stay, and once what stays repeatedly: of
+    rows that share key and text the one with the smallest hash of all columns.
 
     ``rows``: ``_key, _id`` and ``_fp`` of each row; ``stay``: for each ``_fp`` the ``place`` of the row that stays. Where
-    few rows go, only keys and hashes are shuffled; else rows move once to meet them, and are written."""
+    few rows go and none repeat, only keys and hashes are shuffled; else rows move once to meet them, and are written."""
     each = rows.groupBy("_key", "_id", "_fp").agg(F.count("*").alias("_n")).join(stay, "_fp")
     odd = cut(each.select("_key", "_id", "_n", place().eqNullSafe(F.col("_stay")).alias("_stays")).filter("NOT _stays OR _n > 1"))
     gone, twice = odd.filter("NOT _stays"), odd.filter("_stays")
@@ -77,7 +81,8 @@ def keeping(named: DataFrame, rows: DataFrame, stay: DataFrame) -> DataFrame:
     if small:
         gone, twice = F.broadcast(gone), F.broadcast(twice)
     kept = named.join(gone, same_row(named, gone), "left_anti")
-    if odd.filter("_stays").take(1):
-        once = kept.join(twice, same_row(kept, twice), "left_semi").dropDuplicates(["_key", "_id"])
-        kept = kept.join(twice, same_row(kept, twice), "left_anti").unionAll(once)
-    return kept if small else cut(kept)
+    if not odd.filter("_stays").take(1):
+        return kept if small else cut(kept)
+    once = kept.join(twice, same_row(kept, twice), "left_semi")
+    once = once.groupBy("_key", "_id").agg(F.min_by(F.struct(*named.columns), row_hash(named)).alias("_row")).select("_row.*")
+    return cut(kept.join(twice, same_row(kept, twice), "left_anti")).unionAll(cut(once))

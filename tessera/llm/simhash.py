@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import anonymous, dealt_anew, keeping, place, row_hash
+from tessera.llm.frames import anonymous, dealt_anew, keeping, place
 from tessera.plans.lineage import cut
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
@@ -217,14 +217,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns as they were: that of the smallest key (null
-    keys last), of several with it that of the smallest hash of all columns.
+    keys last), of several with it that of the smallest hash of the text, and of several of that the one with the smallest
+    hash of all columns.
 
     Texts without words, null ones too, are duplicates of each other. Rows that repeat all columns are one, and rows that
     share a key only are told apart.
     """
     plain, of, back = anonymous(docs)
     key, text = of[key], of[text]
-    named = plain.withColumns({"_key": F.col(key), "_id": row_hash(plain)})
+    named = plain.withColumns({"_key": F.col(key), "_id": F.xxhash64(F.col(text))})
     rows = cut(fingerprints(named.select("_key", "_id", F.col(text).alias("_text")), "_text", shingle))
     distinct = cut(rows.groupBy("_fp").agg(F.min(place()).alias("_least")))
     stay = names(distinct, link(distinct.select("_fp"), radius)).withColumnRenamed("_name", "_stay")

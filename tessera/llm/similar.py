@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import anonymous, if_few, keeping, place, row_hash, same_row
+from tessera.llm.frames import anonymous, if_few, keeping, place, same_row
 from tessera.llm.simhash import names
 from tessera.plans.lineage import cut
 
@@ -128,7 +128,8 @@ def link(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shin
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns as they were: that of the smallest key (null keys
-    last), of several with it that of the smallest hash of all columns.
+    last), of several with it that of the smallest hash of the text, and of several of that the one with the smallest hash
+    of all columns.
 
     Groups are connected by pairs of ``similarity`` or more. Texts without words, null ones too, are copies of each other.
     Rows that repeat all columns are one, and rows that share a key only are told apart.
@@ -136,7 +137,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     K.bound_batches(docs.sparkSession)
     plain, of, back = anonymous(docs)
     key, text = of[key], of[text]
-    named = plain.withColumns({"_key": F.col(key), "_id": row_hash(plain)})
+    named = plain.withColumns({"_key": F.col(key), "_id": F.xxhash64(F.col(text))})
     picked = named.select("_key", "_id", F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

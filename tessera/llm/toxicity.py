@@ -236,8 +236,11 @@ def locate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns stay as they are."""
+    """``docs`` without the rows that score ``threshold`` or more; columns stay as they are. Where nothing could be learned
+    nothing is rejected."""
     model = train(docs, labels, key, text)
+    if np.isnan(model.weight).all():
+        return docs
     plain, of, back = anonymous(docs)
     scored = score(plain.withColumn("_of", F.col(of[text])), model, "_of")
     return back(scored.filter(F.col("_score") < threshold))

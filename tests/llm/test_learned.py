@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ctw, langid, quality, toxicity
+from tessera.llm import kernels as K
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,6 +53,52 @@ def test_language_uses_text_alone(spark, sf, odd, clashing):
     assert langid.train(held).languages == model.languages
 
 
+def brute_slots(text):
+    """N-gram slots of a text, one by one."""
+    raw = (text or "").lower().encode()
+    raw = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", raw)
+    for i in range(len(raw)):
+        if raw[i] != 0x20:
+            yield raw[i]
+        if i + 1 < len(raw):
+            yield 256 + raw[i] * 256 + raw[i + 1]
+        if i + 2 < len(raw):
+            yield 256 + 65536 + ((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 % 2**32 >> 16)
+
+
+def test_language_against_brute_force(spark, sf):
+    """Odds of n-grams, margins and decoding, recomputed with plain counters."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.lang is not None and r.text and len(r.text) < 3000][:80]
+    frame = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs], "doc_id long, text string, lang string")
+    model = langid.train(frame)
+    learned = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and re.search(r"[^\W\d_]", r.text)]
+    assert model.languages == sorted({r.lang for r in learned})
+    seen = {x: collections.Counter() for x in model.languages}
+    for r in learned:
+        seen[r.lang].update(brute_slots(r.text))
+    bounds = (0, 256, 256 + 65536, 256 + 2 * 65536)
+    size = {x: [sum(n for k, n in c.items() if a <= k < b) + 0.5 * (b - a) for a, b in itertools.pairwise(bounds)] for x, c in seen.items()}
+
+    def odds(slot, bits):
+        part = next(i for i in range(3) if slot < bounds[i + 1])
+        share = [(seen[x][slot] + 0.5) / size[x][part] for x in model.languages]
+        yes, no = ([p for p, b in zip(share, bits, strict=True) if b == v] for v in (1, -1))
+        return math.log(sum(yes) / len(yes)) - math.log(sum(no) / len(no))
+
+    known = {}
+    for r in docs[:12]:
+        slots = list(brute_slots(r.text))
+        margins = []
+        for j, bits in enumerate(model.code.T):
+            known.update({(s, j): odds(s, bits) for s in set(slots) if (s, j) not in known})
+            margins.append(sum(known[(s, j)] for s in slots) / len(slots) * model.scale[j] + model.shift[j])
+        far = [sum(t * math.log1p(math.exp(-m * b)) for m, b, t in zip(margins, word, trust, strict=True)) for word, trust in zip(model.code, model.trust, strict=True)]
+        weights = [math.exp(-model.sharpness * x) for x in far]
+        best, p = model.predict(pa.array([r.text]))
+        assert best[0] == far.index(min(far))
+        assert p[0].tolist() == pytest.approx([w / sum(weights) for w in weights], rel=1e-3, abs=1e-6)
+
+
 def test_language_without_labels(spark, odd, nothing):
     assert langid.train(nothing) is None
     assert {r._lang for r in langid.predict(odd.select("doc_id", "text"), None).collect()} == {"und"}
@@ -89,6 +137,30 @@ def test_quality_counts(spark, sf, odd, labels):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_scores_against_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text) < 4000][:60]
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{sf}/labels.parquet")
+    marks = collections.defaultdict(set)
+    for r in labels.collect():
+        marks[r.doc_id].add(r.quality)
+    good = {i for i, _ in docs if marks[i] and marks[i] - {None} == {1}}
+    grams = lambda t: [int.from_bytes(t.encode()[i : i + 4], "big") * 0x9E3779B1 % 2**32 >> 15 for i in range(len(t.encode()) - 3)]
+    raw, trusted = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        raw.update(grams(t))
+        if i in good:
+            trusted.update(grams(t))
+    n, m = sum(raw.values()) + 2**17, sum(trusted.values())
+    share = lambda g: (raw[g] + 1) / n
+    odds = {g: math.log((trusted[g] + quality.PRIOR * share(g)) / (m + quality.PRIOR) / share(g)) for g in raw}
+    want = {i: sum(odds[g] for g in grams(t)) / max(1, len(grams(t))) for i, t in docs}
+    low, median = np.quantile([want[i] for i in good], [quality.LOW, 0.5])
+    least = low - quality.WIDTH * (median - low)
+    for r in quality.judged(frame, labels).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-3, abs=1e-5)
+        assert r.kept == (not r.base_failed and want[r.doc_id] >= least) or abs(want[r.doc_id] - least) < 1e-4
+
+
 def test_quality_tells_junk(spark, sf):
     r = quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
     good, bad = [x.kept for x in r if x.quality == 1], [x.kept for x in r if x.quality == 0]
@@ -131,6 +203,57 @@ def test_toxicity_is_noisy_or_of_sentences(spark):
     assert [(r.doc_id, r.sentence, r.text) for r in found] == [(0, 0, "You IDIOT, you clown."), (0, 3, "A clown")]  # every stop ends a sentence, the line end too
 
 
+def test_fit_is_the_likeliest(spark):
+    """No small step from the fitted weights makes the noisy-or of the labels likelier, by a loop over documents."""
+    rng = random.Random(2)
+    bags = [[sorted(rng.sample(range(6), rng.randint(1, 3))) for _ in range(rng.randint(1, 4))] for _ in range(150)]
+    label = np.array([int(any(0 in s for s in b) or rng.random() < 0.1) for b in bags])
+    entry = [(d, s) for d, b in enumerate(bags) for s in b]
+    feature = [(i, f) for i, (_, s) in enumerate(entry) for f in s]
+    at, of = (np.array(x) for x in zip(*feature, strict=True))
+    weight, bias, leak = toxicity._fit(np.array([d for d, _ in entry]), at, of, label, 6, steps=4000)
+
+    def cost(w, b, k):
+        total = 0.01 / len(bags) * sum(x * x for x in w)
+        for bag, y in zip(bags, label, strict=True):
+            clean = (1 - k) * math.prod(1 - 1 / (1 + math.exp(-(b + sum(w[f] for f in s)))) for s in bag)
+            total -= math.log(1 - clean if y else clean) / len(bags)
+        return total
+
+    best = cost(weight, bias, leak)
+    for _ in range(200):
+        step = [rng.gauss(0, 0.1) for _ in range(8)]
+        assert cost(weight + step[:6], bias + step[6], 1 / (1 + math.exp(-(math.log(leak / (1 - leak)) + step[7])))) > best - 2e-4
+    assert weight.argmax() == 0
+
+
+def test_evidence_and_places_against_brute_force(spark):
+    """Document frequencies, G statistics, sentence scores and the most offending sentence, with plain sets."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    slot = lambda w: int(K.slice_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] >> np.uint64(64 - toxicity.SLOT_BITS))
+    kinds = lambda w: {w} | {w[:n] for n in toxicity.STEMS if n < len(w)}
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    some = [r for r in docs.orderBy("doc_id").collect() if r.text and len(r.text) < 2000][:60]
+    toxic = [r for r in toxicity.score(docs, model).filter("_sentence IS NOT NULL").orderBy("doc_id").collect()][:40]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {}
+    for i in [r.doc_id for r in some] + [r.doc_id for r in toxic]:
+        scores = {}
+        for n, sentence in enumerate(re.split(rb"[.!?\n]", texts[i].lower().encode())):
+            found = [model.weight[slot(k)] for w in re.findall(rb"[a-z0-9\x80-\xff]+", sentence) for k in kinds(w)]
+            found = [float(x) for x in found if not math.isnan(x)]
+            if found:
+                scores[n] = sigmoid(model.bias + sum(found))
+        want[i] = (1 - (1 - model.leak) * math.prod(1 - p for p in scores.values()), max(scores, key=lambda n: (scores[n], -n)) if scores else None)
+    for r in toxicity.score(docs.filter(F.col("doc_id").isin(*want)), model).collect():
+        assert r._score == pytest.approx(want[r.doc_id][0], rel=1e-4, abs=1e-6) and r._sentence == want[r.doc_id][1]
+
+
+def test_nothing_to_learn_rejects_nothing(spark, odd, nothing, labels):
+    assert toxicity.clean(odd, labels.limit(0)).count() == odd.count()
+
+
 def test_repeated_rows_teach_no_more(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     once, thrice = toxicity.train(docs, labels), toxicity.train(docs.unionAll(docs).unionAll(docs), labels)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, html, linechunks, mixture, shard, simhash, similar
+from tessera.plans.lineage import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -562,3 +563,28 @@ def test_pipeline_stages(spark, sf):
     placed = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     assert placed.count() == before.count()
     assert rows(corpus_pipeline.run(spark, sf), "doc_id", "shard") == rows(placed, "doc_id", "shard")
+
+
+def test_pipeline_of_awkward_rows(spark, odd, nothing, clashing, labels, tmp_path):
+    """Nulls, empty and long texts, repeated rows and extra columns go through all stages, and an empty table too."""
+    benchmark = spark.createDataFrame([(1, PASSAGE), (None, PASSAGE), (2, None)], "item_id long, text string")
+    got = {}
+    leaked = odd.filter("doc_id = 7").withColumns({"doc_id": F.lit(8).cast("long"), "text": F.lit(f"before {PASSAGE} after")})
+    for name, docs in {"odd": odd, "empty": nothing, "clashing": clashing, "repeated": odd.unionAll(odd), "leaked": odd.unionAll(leaked)}.items():
+        at = str(tmp_path / name)
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+            df.write.parquet(f"{at}/{table}.parquet")
+        before = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = cut(stage(spark, before, at))
+            assert before.columns == docs.columns, name
+        got[name] = rows(corpus_pipeline.run(spark, at), "doc_id", "n_bytes")
+    assert got["empty"] == [] and got["odd"] == got["clashing"] == got["repeated"] == got["leaked"]
+    ids = [r[0] for r in got["odd"]]
+    assert 1 in ids and not {2, 3, 6, 8} & set(ids)  # one of the texts without words stays, the copy and the passage go
+
+
+def test_pipeline_without_labels_or_benchmark(spark, odd, labels, tmp_path):
+    for table, df in (("documents", odd), ("labels", labels.limit(0)), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 5
