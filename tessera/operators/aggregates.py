@@ -100,6 +100,8 @@ def summarize(df: DataFrame) -> DataFrame:
 
 #: Ranges that values are counted by to find a quantile's, and rows up to which a group's values are kept in one task.
 RANGES, KEPT_ROWS = 4096, 5_000_000
+#: A table that Catalyst guesses to be no larger isn't counted.
+SURE_BYTES = 32 << 20
 _MOST = 8.9e307
 
 
@@ -112,7 +114,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     number = F.col(value).cast("double")
     rows = df.select(group.alias("_g"), F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.least(number, F.lit(_MOST)), F.lit(-_MOST))).alias("_v"))
-    if rows.count() <= kept:
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if kept and guess <= SURE_BYTES or rows.count() <= kept:
         out = rows.groupBy("_g").agg(F.percentile("_v", F.array(*map(F.lit, shares.values()))).alias("_p")).select("_g", *[F.col("_p")[i].alias(n) for i, n in enumerate(shares)])
     else:
         out = _ranked(rows, shares)
