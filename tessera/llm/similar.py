@@ -6,7 +6,8 @@ fingerprints differ in too many bits for a covering search (2**(radius+1) - 1 ma
 0.9998 at 0.8, more above. Every candidate is then decided by its whole sets, so no text goes that is less alike.
 
 Texts of the same words are one node. Sets move for nodes that share a key with another one, and a bucket of nodes gives
-the edges of a spanning forest of its near copies; one over ``BLOCK`` nodes is split into pairs of blocks.
+the edges of a spanning forest of its near copies; one over ``BLOCK`` nodes or ``ROOM`` shingles is split into pairs of
+blocks, so that neither many nor very long texts fill a task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 30, 6, 42
 #: Nodes of a bucket that one unit of work holds at most, twice.
 BLOCK = 2048
+#: Shingles of a bucket that one unit of work holds, about, twice: nodes are dealt by a hash, and a longer text isn't cut.
+ROOM = 1 << 22
 
 
 def _shingles(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,12 +107,14 @@ def _forests(similarity: float):
     return run
 
 
-def link(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK, room: int = ROOM) -> DataFrame:
     """Edges ``(_u, _v)``, _u > _v, that join near copies among ``nodes`` (``_fp``, ``_key`` and ``_id`` of a row of ``docs``
-    with these words, ``_keys``) into the right components. ``docs`` has ``_key``, ``_id`` and ``_text``."""
-    rows = nodes.select("_fp", F.explode("_keys").alias("_k"))
-    crowded = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1")
-    met = cut(rows.join(crowded, "_k").select("_k", "_fp", F.ceil(F.col("_n") / block).cast("int").alias("_g")))
+    with these words, ``_keys``, and ``_size``, its distinct shingles) into the right components. ``docs`` has ``_key``,
+    ``_id`` and ``_text``."""
+    rows = nodes.select("_fp", "_size", F.explode("_keys").alias("_k"))
+    crowded = rows.groupBy("_k").agg(F.count("*").alias("_n"), F.sum("_size").alias("_m")).filter("_n > 1")
+    blocks = F.least(F.col("_n"), F.ceil(F.greatest(F.col("_n") / block, F.col("_m") / room))).cast("int")
+    met = cut(rows.join(crowded, "_k").select("_k", "_fp", blocks.alias("_g")))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.batches_of(batches, "_text"):
@@ -126,7 +131,7 @@ def link(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shin
     return spread.mapInArrow(K.lean(_forests(similarity)), "_u long, _v long").distinct()
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK, room: int = ROOM) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns as they were: that of the smallest key (null keys
     last), of several with it that of the smallest hash of the text, and of several of that the one with the smallest hash
     of all columns.
@@ -144,12 +149,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
         for batch in K.batches_of(batches, "_text"):
             h, row_start, words = _shingles(batch.column(2), shingle)
             keys = _keys(h, row_start).view(np.int64)
-            each = np.where(np.diff(row_start) > 0, BANDS, 0)
+            size = np.diff(row_start)
+            each = np.where(size > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.view(np.int64)), lists], names=["_key", "_id", "_fp", "_keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.view(np.int64)), pa.array(size.astype(np.int64)), lists], names=["_key", "_id", "_fp", "_size", "_keys"])
 
-    hashed = cut(picked.mapInArrow(K.lean(run), picked.select("_key", "_id").schema.add("_fp", "long").add("_keys", ArrayType(LongType()))))
-    nodes = cut(hashed.groupBy("_fp").agg(F.min(place()).alias("_least"), F.first("_keys").alias("_keys")))
-    edges = link(picked, nodes.select("_fp", F.col("_least.k").alias("_key"), F.col("_least.i").alias("_id"), "_keys"), similarity, shingle)
+    schema = picked.select("_key", "_id").schema.add("_fp", "long").add("_size", "long").add("_keys", ArrayType(LongType()))
+    hashed = cut(picked.mapInArrow(K.lean(run), schema))
+    nodes = cut(hashed.groupBy("_fp").agg(F.min(place()).alias("_least"), F.max("_size").alias("_size"), F.first("_keys").alias("_keys")))
+    edges = link(picked, nodes.select("_fp", F.col("_least.k").alias("_key"), F.col("_least.i").alias("_id"), "_size", "_keys"), similarity, shingle, block, room)
     stay = names(nodes.select("_fp", "_least"), edges).withColumnRenamed("_name", "_stay")
     return back(keeping(named, hashed.select("_key", "_id", "_fp"), stay))

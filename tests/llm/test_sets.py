@@ -123,7 +123,8 @@ def test_pipeline_near_duplicates_against_brute_force(spark, sf):
     sets = {i: shingles(t) for i, t in texts.items()}
     name = classes(sets, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id for r in similar.dedup(docs).collect()} == set(name.values())
+    for how in ({}, {"block": 2}, {"room": 500}):
+        assert {r.doc_id for r in similar.dedup(docs, **how).collect()} == set(name.values())
     left = [sets[r.doc_id] for r in corpus_pipeline.near_duplicates_out(spark, docs, sf).collect()]
     assert all(jaccard(a, b) < 0.8 for a, b in itertools.combinations(left, 2))
 
