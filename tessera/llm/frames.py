@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut
 
-#: Narrow rows (a few numbers each) that may go to every task.
-FEW = 1_000_000
+#: Narrow rows (a few numbers each) that may go to every task, and the bytes that their texts, such as names, may have.
+FEW, FEW_BYTES = 1_000_000, 64 << 20
 
 
 def anonymous(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
@@ -36,9 +36,12 @@ def beside(docs: DataFrame, *added: str) -> DataFrame:
     return docs.toDF(*names) if names != docs.columns else docs
 
 
-def few(df: DataFrame, most: int = FEW) -> bool:
-    """Whether ``df``, which was cut, has so few narrow rows that they may go to every task."""
-    return df.limit(most + 1).count() <= most
+def few(df: DataFrame, most: int = FEW, most_bytes: int = FEW_BYTES) -> bool:
+    """Whether ``df``, which was cut, has so few narrow rows, with so short names, that they may go to every task."""
+    if df.limit(most + 1).count() > most:
+        return False
+    names = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    return not names or (df.agg(F.sum(sum(names[1:], names[0]).cast("long"))).first()[0] or 0) <= most_bytes
 
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:

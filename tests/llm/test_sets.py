@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, html, linechunks, mixture, shard, simhash, similar
+from tessera.llm import decontaminate, frames, html, linechunks, mixture, shard, simhash, similar
 from tessera.plans.lineage import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,6 +129,12 @@ def test_pipeline_near_duplicates_against_brute_force(spark, sf):
     assert all(jaccard(a, b) < 0.8 for a, b in itertools.combinations(left, 2))
 
 
+def test_what_goes_to_every_task_is_bounded_in_rows_and_bytes(spark):
+    named = spark.createDataFrame([(1, "aa", "é"), (2, None, None)], "_key long, _s string, _t string")
+    assert frames.few(named, 2, 4) and not frames.few(named, 2, 3) and not frames.few(named, 1, 4)
+    assert frames.few(named.select("_key"), 2, 0) and frames.few(named.filter("_key > 2"), 2, 0)
+
+
 def test_near_copies_in_blocks():
     rng = random.Random(9)
     base = np.array(sorted(rng.sample(range(1 << 40), 200)), np.uint64)
