@@ -161,6 +161,33 @@ def test_quality_scores_against_brute_force(spark, sf):
         assert r.kept == (not r.base_failed and want[r.doc_id] >= least) or abs(want[r.doc_id] - least) < 1e-4
 
 
+def test_quality_learns_from_all_trusted(spark):
+    n = 24_600  # the sample that was read before had 24,000
+    line = F.concat_ws(" ", *[F.substring(F.sha1(F.concat(F.col("id").cast("string"), F.lit(f".{i}"))), 1, 5) for i in range(3)])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), line.alias("text"))
+    good = quality.trusted(docs.select("doc_id", F.when(F.col("doc_id") % 100 == 0, 0).otherwise(1).alias("quality")))
+    assert good.count() == n - n // 100
+    seen = np.zeros((2, quality._SLOTS))
+    rows = docs.collect()
+    for some in (rows, [r for r in rows if r.doc_id % 100]):
+        for _, slot in quality._grams(*K.text_bytes(pa.array([r.text for r in some]))):
+            seen[int(len(some) < n)] += np.bincount(slot, minlength=quality._SLOTS)
+    share = (seen[0] + 1) / (seen[0] + 1).sum()
+    want = np.log((seen[1] + quality.PRIOR * share) / (seen[1].sum() + quality.PRIOR) / share)
+    np.testing.assert_allclose(quality.ratios(docs, good), want, rtol=1e-4, atol=1e-6)
+
+
+def test_quality_same_if_trusted_are_many(spark, sf, labels, odd, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    marks = spark.read.parquet(f"{sf}/labels.parquet").unionByName(labels)
+    names = ("n_words", "base_failed", "kept", "score")
+    sent = by_id(quality.judged(docs, marks), *names)
+    plain = quality.quantiles
+    monkeypatch.setattr(quality, "if_few", lambda df: df.hint("merge"))
+    monkeypatch.setattr(quality, "quantiles", lambda df, by, value, shares, kept: plain(df, by, value, shares, 0))
+    assert by_id(quality.judged(docs, marks), *names) == sent
+
+
 def test_quality_tells_junk(spark, sf):
     r = quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
     good, bad = [x.kept for x in r if x.quality == 1], [x.kept for x in r if x.quality == 0]
