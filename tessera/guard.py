@@ -11,11 +11,19 @@ from enum import Enum
 from typing import Any
 
 from pyspark.sql import Row, SparkSession
+from pyspark.sql import types as T
 
 from tessera.plans import parse
 from tessera.rows import CancelSignal, Rows
 
 
+#: Rows that are asked for at once; where the caps allow more, rows are read until one of the caps is met.
+AT_ONCE = 100_000
+
+#: Types whose values may take no byte.
+EMPTY = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+
+
 class Rejected(Exception):
     """A statement that the guard doesn't run, or a result over its caps."""
 
@@ -126,10 +134,22 @@ class GuardedQuery:
             raise Rejected(why)
 
     def run(self, sql: str, signal: CancelSignal | None = None, args: dict[str, Any] | None = None) -> Result:
-        """The rows, within the caps: one row more is asked for, so that a cut shows."""
+        """The rows, within the caps: one row more is asked for, so that a cut shows. A row has a byte at least for each
+        value that isn't a text or a collection, which bounds the rows of the cap of bytes."""
         self.check(sql)
         df = self.spark.sql(sql.strip().rstrip(";"), args=args)
-        rows = Rows(df.limit(self.policy.max_rows + 1), self.policy.timeout, signal).collect()
+        filled = sum(not isinstance(f.dataType, EMPTY) for f in df.schema)
+        most = 1 + (min(self.policy.max_rows, self.policy.max_bytes // filled) if filled else self.policy.max_rows)
+        if most <= AT_ONCE:
+            rows = Rows(df.limit(most), self.policy.timeout, signal).collect()
+        else:
+            taken = [0, 0]
+
+            def full(row: Row) -> bool:
+                taken[0], taken[1] = taken[0] + 1, taken[1] + size_of(row)
+                return taken[0] >= most or taken[1] > self.policy.max_bytes
+
+            rows = Rows(df, self.policy.timeout, signal).until(full)
         over = len(rows) > self.policy.max_rows
         if over and self.policy.when_over is WhenOver.REFUSE:
             raise Rejected(f"more than {self.policy.max_rows} rows")

@@ -48,7 +48,8 @@ def row_caps(spark, d):
         return False
 
     got = GuardedQuery(spark, QueryPolicy(max_rows=10, when_over=WhenOver.TRUNCATE, timeout=None)).run(asked)
-    rows = [(r["o_orderkey"], got.truncated, refuses(max_rows=10), refuses(max_rows=1 << 30, max_bytes=24)) for r in got.rows]
+    refused = refuses(max_rows=10), refuses(max_rows=1 << 30, max_bytes=24)
+    rows = [(r["o_orderkey"], got.truncated, *refused) for r in got.rows]
     return spark.createDataFrame(rows, "o_orderkey long, cut boolean, refused boolean, bytes_refused boolean")
 
 

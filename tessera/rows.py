@@ -118,6 +118,19 @@ class Rows:
         named = self.df.toDF(*[f.name for f in dataclasses.fields(cls)])
         return [layout.item(r) for r in self._run(named.collect)]
 
+    def until(self, full: Callable[[Row], bool]) -> list[Row]:
+        """Rows up to the first for which ``full`` is true, with it; a partition at a time, and later ones aren't made."""
+
+        def work() -> list[Row]:
+            found = []
+            for row in self.df.toLocalIterator():
+                found.append(row)
+                if full(row):
+                    break
+            return found
+
+        return self._run(work)
+
     def stream(self) -> Iterator[Row]:
         """Rows one partition at a time, which bounds what the driver holds."""
         return self.df.toLocalIterator(prefetchPartitions=True)
