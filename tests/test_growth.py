@@ -33,3 +33,11 @@ def test_a_cap_of_bytes_bounds_what_the_driver_reads(spark, monkeypatch, sql):
 def test_rows_without_bytes_are_read_to_the_end(spark):
     got = GuardedQuery(spark, QueryPolicy(max_rows=1 << 30, max_bytes=10, timeout=60)).run("select '' s from range(3000)")
     assert len(got.rows) == 3000 and not got.truncated
+
+
+def test_no_sketch_for_each_distinct_key(spark):
+    from tessera.queries import QUERIES
+
+    plan = QUERIES["agg_approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "approx_count_distinct" in plan
+    assert not [line for line in plan.splitlines() if "keys=[o_custkey" in line and "approx_count_distinct" in line]
