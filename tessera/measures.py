@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.joins import converted
+from tessera.operators.joins import broadcast_if_small, converted
 from tessera.operators.ordering import declared
+from tessera.plans.spread import spread, tasks_for, without
 from tessera.schema import columns
 from tessera.store import Change, FileSystem, Store, StoreError
 
@@ -123,11 +124,12 @@ def as_rows(measure: Measure, values: Batch | DataFrame, spark: SparkSession) ->
     """(values, records touched) of a batch or of a DataFrame with record_id, the fields and value."""
     if isinstance(values, Batch):
         return values.df(spark), values.records(spark)
-    rows = values.select("record_id", *measure.names, F.col("value").cast("double").alias("value"))
-    twice = rows.groupBy("record_id", *measure.names).count().filter("count > 1").take(1)
+    rows = spread(values.select("record_id", *measure.names, F.col("value").cast("double").alias("value")), "record_id")
+    per_key = rows.groupBy("record_id", *measure.names).agg(F.count("*").alias("n"), F.count("value").alias("given"))
+    twice, record, missing = per_key.agg(F.max(F.col("n") > 1), F.min(F.when(F.col("n") > 1, F.col("record_id"))), F.max(F.col("given") < F.col("n"))).first()
     if twice:
-        raise MeasureError(f"record {twice[0]['record_id']} has a key twice")
-    if rows.filter("value IS NULL").take(1):
+        raise MeasureError(f"record {record} has a key twice")
+    if missing:
         raise MeasureError("a value is null")
     return rows, rows.select("record_id").distinct()
 
@@ -202,9 +204,8 @@ class MeasureTable:
         keys = ["record_id", *self.measure.names]
 
         def work(c: Change) -> int:
-            last = c.read(self.values_table).groupBy(*keys).agg(F.max_by("value", F.struct("written_at", "part", "value")).alias("value"))
-            on = [rows[k].eqNullSafe(last[k]) for k in keys] + [rows["value"] == last["value"]]
-            new = rows.join(last, on, "left_anti")
+            last = spread(c.read(self.values_table), "record_id").groupBy(*keys).agg(F.max_by("value", F.struct("written_at", "part", "value")).alias("value"))
+            new = without(rows, last, keys, same="value")
             n = new.count()
             if n:
                 c.append(self.values_table, self._stamped(new, part, by, at))
@@ -222,13 +223,13 @@ class MeasureTable:
         return MeasureQuery(self)
 
     def parts(self) -> DataFrame:
-        return self.store.read(self.values_table).groupBy("part").agg(F.count("*").alias("values"), F.countDistinct("record_id").alias("records")).orderBy("part")
+        return spread(self.store.read(self.values_table), "record_id").groupBy("part").agg(F.count("*").alias("values"), F.countDistinct("record_id").alias("records")).orderBy("part")
 
     def value_count(self) -> int:
         return self.store.read(self.values_table).count()
 
     def record_count(self) -> int:
-        return self.store.read(self.values_table).select("record_id").distinct().count()
+        return spread(self.store.read(self.values_table).select("record_id"), "record_id").distinct().count()
 
     def key_count(self) -> int:
         return self.store.read(self.values_table).select(*self.measure.names).distinct().count()
@@ -242,7 +243,8 @@ class MeasureTable:
         if not n:
             return 0
         folder = f"{location.rstrip('/')}/measure={self.measure.name}/part={part}"
-        rows.repartitionByRange(*self.measure.names).sortWithinPartitions(*self.measure.names, "record_id").write.option("compression", "zstd").mode("overwrite").parquet(folder)
+        # few settings of the fields are there, so the ranges go on by record
+        rows.repartitionByRange(tasks_for(rows), *self.measure.names, "record_id").sortWithinPartitions(*self.measure.names, "record_id").write.option("compression", "zstd").mode("overwrite").parquet(folder)
         notes = json.dumps({"measure": self.measure.name, "fields": self.measure.names, "part": part})
         self.spark.createDataFrame([(notes,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}_notes")
         self.store.change(lambda c: c.delete_keys(self.values_table, self.spark.createDataFrame([(part,)], "part string")))
@@ -372,7 +374,7 @@ class MeasureQuery:
             df = df.filter(F.col("written_by").isin(*self.of_writers) if self.of_writers else F.lit(False))
         if self.latest:
             keys = ["record_id", *self.table.measure.names]
-            df = df.groupBy(*keys).agg(F.max_by("value", F.struct("written_at", "part", "value")).alias("value"))
+            df = spread(df, "record_id").groupBy(*keys).agg(F.max_by("value", F.struct("written_at", "part", "value")).alias("value"))
         return df
 
     def _check_units(self) -> None:
@@ -396,7 +398,7 @@ class MeasureQuery:
         shown = [f for f in (*self.row_fields, self.column_field) if f]
         needed = list(dict.fromkeys([*shown, *([measure.unit] if self.conversion else [])]))
         # sums over the fields that matter come first, so that conversion and pivot meet few rows
-        source = self._source()
+        source = spread(self._source(), "record_id") if "record_id" in needed else self._source()
         totals = source.groupBy(*needed).agg(F.sum("value").alias("value"))
         if self.conversion:
             unit, rates, a, b, factor = self.conversion
@@ -479,14 +481,14 @@ class MeasureRefresh:
                 new, touched = spark.createDataFrame([], m.key_schema), spark.createDataFrame([(int(r),) for r in what], "record_id long")
             else:
                 new, touched = as_rows(m, what, spark)
-            old = values if kind == FULL else values.join(touched, "record_id", "left_semi")
-            old = old.groupBy(*keys).agg(F.sum("value").alias("_old"))
             if kind == FULL:
                 changes = new
             else:
-                on = [new[k].eqNullSafe(old[k]) for k in keys]
-                both = new.withColumnRenamed("value", "_new").join(old, on, "full")
-                changes = both.select(*[F.coalesce(new[k], old[k]).alias(k) for k in keys], (F.coalesce("_new", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("value")).filter("value <> 0")
+                # both sides in one stream, summed up per key: a null-safe join would deal them out anew
+                old = spread(values.join(touched, "record_id", "left_semi"), "record_id")
+                side = lambda df, a, b: df.select(*keys, F.col(a).alias("_new") if a else F.lit(0.0).alias("_new"), F.col(b).alias("_old") if b else F.lit(0.0).alias("_old"))
+                both = spread(side(new, "value", None).unionAll(side(old, None, "value")), "record_id")
+                changes = both.groupBy(*keys).agg((F.sum("_new") - F.sum("_old")).alias("value")).filter("value <> 0")
             c.append(table.contributions_table, changes.withColumns({"refresh_id": F.lit(self.id), "writer": F.lit(self.writer)}))
             stamped = new.withColumns({"part": F.lit(""), "written_by": F.lit(self.writer), "written_at": F.lit(self.moment).cast("timestamp_ntz")})
             stamped = stamped.select(*m.value_schema.names)
@@ -526,7 +528,7 @@ def state_at(table: MeasureTable, moment: dt.datetime, history: MeasureHistory |
         exported = table.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*files).filter(F.col("measure") == m.name)
         ledger = ledger.unionByName(exported.select(*LEDGER_SCHEMA.names).distinct())
         # a day that is being compacted has its rows twice for a moment; a refresh has a record's key once
-        given = exported.filter("record_id IS NOT NULL").groupBy("refresh_id", "writer", "record_id", *m.names).agg(F.first("value").alias("value"))
+        given = spread(exported.filter("record_id IS NOT NULL"), "record_id").groupBy("refresh_id", "writer", "record_id", *m.names).agg(F.first("value").alias("value"))
         sources.append(given.select(*m.contribution_schema.names))
     ledger = ledger.filter(F.col("refreshed_at") <= F.lit(moment).cast("timestamp_ntz")).groupBy("writer", "refresh_id").agg(F.max("seq").alias("seq"), F.max("kind").alias("kind"))
     since = ledger.filter(F.col("kind") == FULL).agg(F.max("seq")).first()[0]
@@ -536,8 +538,9 @@ def state_at(table: MeasureTable, moment: dt.datetime, history: MeasureHistory |
     id_of = ["refresh_id", "writer"]
     for more in sources[1:]:
         # a refresh's contributions move as a whole: a source adds the refreshes that those before it don't have
-        merged = merged.unionByName(more.join(merged.select(*id_of).distinct(), id_of, "left_anti"))
-    met = merged.join(ledger.select(*id_of), id_of, "left_semi")
+        # refreshes are few and each has many rows: a shuffle by refresh would put all of one into one task
+        merged = merged.unionByName(more.join(broadcast_if_small(merged.select(*id_of).distinct()), id_of, "left_anti"))
+    met = spread(merged.join(broadcast_if_small(ledger.select(*id_of)), id_of, "left_semi"), "record_id")
     return met.groupBy("record_id", *m.names).agg(F.sum("value").alias("value"))
 
 
@@ -560,7 +563,7 @@ class MeasureHistory:
                 if not c.exists(name):
                     c.create(name, schema)
             new = waiting.join(c.read(LEDGER).filter(F.col("measure") == m.name).select("writer", "refresh_id"), ["writer", "refresh_id"], "left_anti")
-            rows = live.read(table.contributions_table).join(new.select("writer", "refresh_id"), ["writer", "refresh_id"], "left_semi")
+            rows = live.read(table.contributions_table).join(broadcast_if_small(new.select("writer", "refresh_id")), ["writer", "refresh_id"], "left_semi")
             shipped, n = new.count(), rows.count()
             if shipped:
                 c.append(table.contributions_table, rows.select(*m.contribution_schema.names))

@@ -10,6 +10,7 @@ from tessera.materialization import Materialization
 from tessera.measures import Field, Measure, MeasureHistory, MeasureRefresh, MeasureTable
 from tessera.operators.aggregates import rollup_of
 from tessera.plans.lineage import ensure_checkpoint_dir
+from tessera.plans.spread import spread
 from tessera.queries.registry import query
 from tessera.queries.tables import Tables, sql
 from tessera.sparse import wide_view
@@ -30,7 +31,7 @@ _VALUES = f"(SELECT record_id, flag, status, year, unit, sum(price) AS value FRO
 def _values(spark, d):
     unit = F.when(F.col("l_suppkey") % 2 == 0, "EUR").otherwise("USD")
     l = Tables(spark, d).lineitem.select(F.col("l_orderkey").alias("record_id"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.year("l_shipdate").cast("string").alias("year"), unit.alias("unit"), "l_extendedprice", "l_linenumber")  # noqa: E741
-    return l.groupBy("record_id", "flag", "status", "year", "unit").agg(F.sum("l_extendedprice").alias("value"))
+    return spread(l, "record_id").groupBy("record_id", "flag", "status", "year", "unit").agg(F.sum("l_extendedprice").alias("value"))
 
 
 _kept: dict[tuple, MeasureTable] = {}
@@ -159,7 +160,7 @@ def measure_state_is_sum(spark, d):
     """The live state, and the keys whose contributions don't cancel out: the same."""
     table, _ = _refreshed(spark, d)
     keys = ["record_id", *LINES.names]
-    per_key = lambda name: table.store.read(name).groupBy(*keys).agg(F.round(F.sum("value"), 4).alias("value")).filter("value <> 0")
+    per_key = lambda name: spread(table.store.read(name), "record_id").groupBy(*keys).agg(F.round(F.sum("value"), 4).alias("value")).filter("value <> 0")
     shown = lambda name, source: per_key(name).groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.lit(source).alias("source"), "unit", "n", "total")
     return shown(table.values_table, "live").unionAll(shown(table.contributions_table, "contributions"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.spread import without
 
 #: Lists of deleted keys that a table carries at most, and how many keys of theirs may go to every task.
 MOST_DELETES, FEW_KEYS = 16, 500_000
@@ -128,10 +129,12 @@ class Change:
         """``df`` without the rows whose keys the lists hold."""
         for columns in dict.fromkeys(tuple(x["columns"]) for x in deletes):
             lists = [x for x in deletes if tuple(x["columns"]) == columns]
-            keys = self._files([x["folder"] for x in lists]).toDF(*[f"_{c}" for c in columns])
+            keys = self._files([x["folder"] for x in lists])
             if sum(x["rows"] for x in lists) <= FEW_KEYS:
-                keys = F.broadcast(keys)
-            df = df.join(keys, [df[c].eqNullSafe(keys[f"_{c}"]) for c in columns], "left_anti")
+                keys = F.broadcast(keys.toDF(*[f"_{c}" for c in columns]))
+                df = df.join(keys, [df[c].eqNullSafe(keys[f"_{c}"]) for c in columns], "left_anti")
+            else:
+                df = without(df, keys.toDF(*columns), list(columns))
         return df
 
     def schema(self, name: str) -> T.StructType:

@@ -41,3 +41,45 @@ def test_no_sketch_for_each_distinct_key(spark):
     plan = QUERIES["agg_approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "approx_count_distinct" in plan
     assert not [line for line in plan.splitlines() if "keys=[o_custkey" in line and "approx_count_distinct" in line]
+
+
+def most_rows_of_a_task(df) -> int:
+    from pyspark.sql import functions as F
+
+    return df.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+
+
+def test_sums_per_key_get_as_many_tasks_as_their_bytes_call_for(spark, store, monkeypatch):
+    from tessera.measures import Field, Measure, MeasureTable, as_rows
+    from tessera.plans import spread
+
+    monkeypatch.setattr(spread, "TASK_BYTES", 2_000)
+    measure = Measure("grown", (Field("kind"),))
+    table = MeasureTable(store, measure).create()
+    rows = spark.range(20_000).selectExpr("id AS record_id", "'a' AS kind", "CAST(id AS DOUBLE) AS value")
+    table.append(rows)
+    stored = store.read("grown_value")
+    assert spread.tasks_for(stored) > 30
+    checked = as_rows(measure, stored, spark)[0]
+    sums = table.query().rows("record_id").df()
+    assert most_rows_of_a_task(checked) < 20_000 / 20 and sums.count() == 20_000
+    # dealt out once, and not again for a sum per key
+    assert spread.spread(checked, "record_id") is checked
+    assert checked.groupBy("record_id", "kind").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_long_lists_of_deleted_keys_and_nulls(spark, store, monkeypatch):
+    from tessera import store as stores
+    from tessera.plans import spread
+    from tessera.schema import columns
+
+    monkeypatch.setattr(stores, "FEW_KEYS", 3), monkeypatch.setattr(spread, "TASK_BYTES", 100)
+    rows = [(i % 50 if i % 7 else None, str(i % 3) if i % 5 else None) for i in range(200)]
+    gone = [(i if i % 4 else None, None if i % 3 else "1") for i in range(60)]
+    store.change(lambda c: (c.create("t", columns(a="long", b="string")), c.append("t", spark.createDataFrame(rows, "a long, b string"))))
+    store.change(lambda c: c.delete_keys("t", spark.createDataFrame(gone, "a long, b string")))
+    left = store.read("t")
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted((r for r in rows if r not in set(gone)), key=repr)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    parts = [int(x.split(",")[0].split(")")[0]) for x in plan.replace("REPARTITION", "\nREPARTITION").split("hashpartitioning(_k")[1:] for x in [x.split(", ", 1)[1]]]
+    assert parts and min(parts) > 8  # more than the session's shuffle partitions
