@@ -11,6 +11,7 @@ from tessera.materialization import Materialization
 from tessera.measures import Dictionary, Field, Measure, MeasureError, MeasureHistory, MeasureRefresh, MeasureTable
 from tessera.operators import predicates as P
 from tessera.operators.paging import Pages
+from tessera.plans.spread import spread
 from tessera.queries.filed import Nation, _name, nations, place
 from tessera.queries.models import _INC, _VALUES, LINES, _at, _filled, _once, _refreshes, _rounded, _values, scratch
 from tessera.queries.registry import query
@@ -214,7 +215,8 @@ def field_default(spark, d):
     narrow = Measure("flags", (Field("flag"),))
     store, at, t = scratch(spark), place(spark), Tables(spark, d).lineitem
     table = MeasureTable(store, narrow).create()
-    values = t.groupBy(F.col("l_orderkey").alias("record_id"), F.col("l_returnflag").alias("flag")).agg(F.sum("l_extendedprice").alias("value"))
+    lines = t.select(F.col("l_orderkey").alias("record_id"), F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    values = spread(lines, "record_id").groupBy("record_id", "flag").agg(F.sum("l_extendedprice").alias("value"))
     table.append(values.filter("flag = 'A'"), part="old")
     table.append(values.filter("flag <> 'A'"), part="new")
     table.archive(at, "old")
