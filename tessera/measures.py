@@ -34,6 +34,9 @@ FULL, INCREMENT, REMOVE = "full", "increment", "remove"
 LEDGER_SCHEMA = columns(refresh_id="string", writer="string", refreshed_at="timestamp_ntz", seq="long", measure="string", kind="string", committed_at="timestamp_ntz")
 WATERMARK_SCHEMA = columns(writer="string", measure="string", refreshed_at="timestamp_ntz")
 
+#: Bytes that a compacted file takes, about.
+FILE_BYTES = 32 << 20
+
 
 class MeasureError(StoreError):
     """A refused question or write."""
@@ -618,10 +621,20 @@ class MeasureHistory:
             if n:
                 attempt = uuid.uuid4().hex
                 tries.append(attempt)
-                rows = ledger.join(c.read(table.contributions_table), ["writer", "refresh_id"], "left")
+                found = c.read(table.contributions_table)
+                # a day may have nearly all rows: its files are as many as its rows call for, until they are compacted; the
+                # ledger's columns come after the shuffle
+                tasks = tasks_for(found)
+                dealt = found.repartition(tasks, "record_id") if tasks > 1 else found
+                # a row for each contribution, and one for a refresh that has none
+                with_rows = dealt.join(broadcast_if_small(ledger), ["writer", "refresh_id"])
+                bare = broadcast_if_small(found.select("writer", "refresh_id").distinct())
+                bare = ledger.join(bare, ["writer", "refresh_id"], "left_anti")
+                rows = with_rows.unionByName(bare, allowMissingColumns=True)
                 day = F.to_date("refreshed_at").cast("string")
                 rows = rows.select(*LEDGER_SCHEMA.names, "record_id", *m.names, "value", day.alias("day"))
-                rows.repartition("day").write.option("compression", "zstd").partitionBy("day").parquet(f"{place.root}/_{attempt}")
+                rows = rows.repartition("day") if tasks == 1 else rows
+                rows.write.option("compression", "zstd").partitionBy("day").parquet(f"{place.root}/_{attempt}")
                 c.append(mark, ledger.select("writer", "refresh_id", F.lit(attempt).alias("attempt")))
             return n
 
@@ -645,14 +658,17 @@ class MeasureHistory:
             place.delete(folder)
 
     def compact(self, table: MeasureTable, location: str, day: dt.date) -> int:
-        """One file in place of a day's files; returns how many there were. Readers that meet both count rows once."""
+        """One file in place of a day's files, or one for each ``FILE_BYTES`` of them; returns how many there were. Readers
+        that meet both count rows once."""
         place = self.store.files.__class__(table.spark, f"{location.rstrip('/')}/measure={table.measure.name}")
         folder = f"day={day.isoformat()}"
         names = [n for n in place.names(folder) if n.endswith(".parquet")]
-        if len(names) > 1:
+        size = sum(place.size(f"{folder}/{n}") for n in names)
+        files = max(1, -(-size // FILE_BYTES))
+        if len(names) > files:
             new = f"_{uuid.uuid4().hex}"
-            rows = table.spark.read.parquet(*[f"{place.root}/{folder}/{n}" for n in names]).distinct()
-            rows.coalesce(1).write.option("compression", "zstd").parquet(f"{place.root}/{new}")
+            rows = spread(table.spark.read.parquet(*[f"{place.root}/{folder}/{n}" for n in names]), "record_id").distinct()
+            rows.repartition(files).write.option("compression", "zstd").parquet(f"{place.root}/{new}")
             for file in place.names(new):
                 if file.endswith(".parquet"):
                     place.move(f"{new}/{file}", f"{folder}/{new[1:]}-{file}")

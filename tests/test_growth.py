@@ -83,3 +83,28 @@ def test_long_lists_of_deleted_keys_and_nulls(spark, store, monkeypatch):
     plan = left._jdf.queryExecution().executedPlan().toString()
     parts = [int(x.split(",")[0].split(")")[0]) for x in plan.replace("REPARTITION", "\nREPARTITION").split("hashpartitioning(_k")[1:] for x in [x.split(", ", 1)[1]]]
     assert parts and min(parts) > 8  # more than the session's shuffle partitions
+
+
+def test_a_day_is_exported_in_many_files_and_compacted(spark, store, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from tessera import measures
+    from tessera.measures import Field, Measure, MeasureHistory, MeasureRefresh, MeasureTable
+    from tessera.plans import spread
+    from tessera.store import Store
+
+    monkeypatch.setattr(spread, "TASK_BYTES", 4_000), monkeypatch.setattr(measures, "FILE_BYTES", 40_000)
+    table = MeasureTable(store, Measure("grown", (Field("colour"),))).create()
+    at = lambda h: dt.datetime(2024, 3, 1, h)
+    rows = spark.range(20_000).selectExpr("id AS record_id", "'a' AS colour", "CAST(id AS DOUBLE) AS value")
+    MeasureRefresh(store, at(9), "full").full(table, rows).commit()
+    MeasureRefresh(store, at(10), "none").remove(table, [-1]).commit()  # changes nothing, and is exported too
+    history, place = MeasureHistory(Store(spark, str(tmp_path / "past"))), str(tmp_path / "files")
+    assert history.ship(table) == (2, 20_000) and history.export(table, place) == 2
+    files = lambda: sum(1 for _ in (tmp_path / "files" / "measure=grown" / "day=2024-03-01").glob("*.parquet"))
+    many = files()
+    assert many > 8
+    assert history.compact(table, place, dt.date(2024, 3, 1)) == many and 1 <= files() < many
+    assert {r["refresh_id"] for r in spark.read.parquet(place).select("refresh_id").distinct().collect()} == {"full", "none"}
+    got = table.query().rows().as_of(at(11), history).from_files(place).df().first()
+    assert got["value"] == sum(range(20_000))
